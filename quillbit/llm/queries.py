@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillbit.llm import decontaminate, line_dedup
+from quillbit.llm import decontaminate, line_dedup, sentencepiece_viterbi
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_viterbi.query,
     "op2_decontamination": decontaminate.query,
     "op8_line_dedup": line_dedup.query,
 }
