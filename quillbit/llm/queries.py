@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillbit.llm import decontaminate, line_dedup, sentencepiece_viterbi
+from quillbit.llm import decontaminate, line_dedup, quality_model, sentencepiece_viterbi, simhash
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.query,
     "op2_decontamination": decontaminate.query,
+    "op4_quality": quality_model.query,
+    "op7_simhash": simhash.query,
     "op8_line_dedup": line_dedup.query,
 }
 
