@@ -40,7 +40,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the files instead of repeating what led to them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillbit/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,3 +91,13 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes, together a key whose collisions are out of
     reach where a single one would collide among 10^10 distinct values."""
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
+
+
+def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column) -> DataFrame:
+    """At most ``sample`` of ``total`` rows, chosen by a hash of ``key``; all of
+    them if there are no more. Only the chosen rows leave the tasks that read
+    them, so the cost of choosing doesn't grow with the number of tasks."""
+    if total <= sample:
+        return rows
+    cut = int(0.95 * sample / total * (1 << 53))
+    return rows.where(F.shiftrightunsigned(key, 11) < cut).limit(sample)

@@ -5,7 +5,7 @@ often each pattern of votes occurs is counted over all documents (at most 3^8
 patterns), and expectation-maximisation on these counts estimates every
 labeller's accuracy and the share of good texts. The posterior of a text's
 pattern is its label. A hashed linear scorer learns these labels from a bounded
-sample, the ``sample`` rows with the smallest hash, and then scores every text by
+sample of at most ``sample`` rows, chosen by their hash, and then scores every text by
 itself, with no join: its features are hashed word shapes and binned shape
 statistics. No true label is used anywhere.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.common import broadcast_value, materialize, space_words, text_slices
+from quillbit.llm.common import bounded_sample, broadcast_value, materialize, space_words, text_slices
 from quillbit.session import ensure_importable, load
 
 #: Rows that the scorer learns from, and buckets of its features.
@@ -240,9 +240,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Qualit
                 )
 
     text = F.col(f"`{text_col}`")
-    looked = materialize(docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(look, "h bigint, pattern int, buckets array<int>, shares array<float>"), "quality")
-    labels = LabelModel.fit({r.pattern: r.n for r in looked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()})
-    taken = looked.orderBy("h", "pattern").limit(sample).toArrow()
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    looked = materialize(docs.select(F.xxhash64(*plain).alias("h"), text.alias("text")).mapInArrow(look, "h bigint, pattern int, buckets array<int>, shares array<float>"), "quality")
+    counts = {r.pattern: r.n for r in looked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = LabelModel.fit(counts)
+    taken = bounded_sample(looked, sum(counts.values()), sample, F.col("h")).toArrow()
     rows = [dict(zip(b, v, strict=True)) for b, v in zip(taken.column("buckets").to_pylist(), taken.column("shares").to_pylist(), strict=True)]
     if not rows:
         return QualityModel(labels, Scorer(np.zeros(0, dtype=np.int64), np.zeros(0)))

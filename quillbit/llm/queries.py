@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillbit.llm import decontaminate, line_dedup, quality_model, sentencepiece_viterbi, simhash
+from quillbit.llm import backoff_lm, decontaminate, line_dedup, quality_model, sentencepiece_viterbi, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.query,
     "op2_decontamination": decontaminate.query,
+    "op3_toxicity": toxicity.query,
     "op4_quality": quality_model.query,
+    "op5_lm_score": backoff_lm.query,
     "op7_simhash": simhash.query,
     "op8_line_dedup": line_dedup.query,
 }
