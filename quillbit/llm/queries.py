@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbit.llm import backoff_lm, decontaminate, line_dedup, quality_model, sentencepiece_viterbi, simhash, toxicity
+from quillbit.llm import backoff_lm, decontaminate, line_dedup, pii_feistel, quality_model, sentencepiece_viterbi, simhash, toxicity, warc_store
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.query,
@@ -12,9 +12,12 @@ QUERIES = {
     "op5_lm_score": backoff_lm.query,
     "op7_simhash": simhash.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_warc": warc_store.query,
+    "op10_pii": pii_feistel.query,
 }
 
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op9_warc": warc_store.ORACLE,
 }
