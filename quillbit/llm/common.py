@@ -15,7 +15,7 @@ from quillbit.session import ensure_importable
 
 #: Bytes of text that a Python kernel turns into words at a time. It bounds a
 #: worker's memory whatever the Arrow batch size; a longer text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,10 +49,11 @@ def broadcast_value(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def text_slices(batch: pa.RecordBatch, column: str, within: str | None = None, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Consecutive slices of ``batch`` with about ``max_bytes`` of text each, and
-    the texts as bytes (None for null)."""
-    whole = batch.column(batch.schema.get_field_index(column))
+    the texts as bytes (None for null); ``within`` names the struct that holds the
+    column. What Arrow has freed goes back to the system after the batch."""
+    whole = batch.column(within).field(column) if within else batch.column(column)
     if not pa.types.is_large_string(whole.type):
         whole = whole.cast(pa.large_string()) if not pa.types.is_string(whole.type) else whole
     raw = whole.cast(pa.large_binary() if pa.types.is_large_string(whole.type) else pa.binary())
@@ -67,6 +68,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES
         size += len(t or b"")
     if texts:
         yield batch.slice(start, len(texts)), texts
+    pa.default_memory_pool().release_unused()
 
 
 #: Word bytes stay (ASCII letters in lower case), all others become spaces.

@@ -119,25 +119,26 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _MATCHES = "n_words bigint, spans array<struct<first: bigint, last: bigint>>, items array<string>"
 
 
-def match_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """(id_col[, text_col], n_words, spans, items) for every document: merged spans
-    of hit words as word numbers, and the distinct items found, sorted as text."""
+def match_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, inside: bool = False) -> DataFrame:
+    """(id_col, n_words, spans, items) for every document: merged spans of hit
+    words as word numbers, and the distinct items found, sorted as text. With
+    ``inside`` the text is a field of the struct ``id_col``."""
     spark = docs.sparkSession
     bench = bench.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
     total = bench.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kept = blocks > 1 or keep_text
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    own_text = [] if inside else [F.col(f"`{text_col}`").alias("text")]
+    out = docs.select(F.col(f"`{id_col}`").alias("id"), *own_text, F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for block in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block)
         held = broadcast_value(spark, WindowSet(((r.item, r.item_text.encode() if r.item_text is not None else None) for r in part.toLocalIterator()), window))
-        with_text = kept and (keep_text or block < blocks - 1)
+        with_text = not inside and block < blocks - 1
         first = block == 0
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, with_text=with_text, first=first) -> Iterator[pa.RecordBatch]:
             index: WindowSet = held.value
             for batch in batches:
-                for rows, texts in text_slices(batch, "text"):
+                for rows, texts in text_slices(batch, text_col, "id") if inside else text_slices(batch, "text"):
                     found = index.scan(texts)
                     spans = [[{"first": a, "last": b} for a, b in x[1]] for x in found]
                     items = [x[2] for x in found]
@@ -155,7 +156,7 @@ def match_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         out = out.mapInArrow(scan, f"id {id_type}, " + ("text string, " if with_text else "") + _MATCHES)
         if block < blocks - 1:
             out = materialize(out, "decontaminate")
-    return out.withColumnsRenamed({"id": id_col, "text": text_col} if with_text else {"id": id_col})
+    return out.withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "document", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -164,8 +165,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "document", t
     (``remove='span'``). All columns stay; ``span`` changes ``text_col`` only."""
     if remove not in ("document", "span"):
         raise ValueError("remove is 'document' or 'span'")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    found = match_windows(packed, bench, "row", "text", window=window, block_bytes=block_bytes, keep_text=remove == "span")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = match_windows(packed, bench, "row", text_col, window=window, block_bytes=block_bytes, inside=True)
     if remove == "document":
         return found.where(F.size("spans") == 0).select("row.*")
 
@@ -173,8 +174,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "document", t
     def cut(text, spans):
         return text.combine(spans, lambda t, s: cut_spans(t, [(x["first"], x["last"]) for x in s]) if t is not None and len(s) else t)
 
-    clean = F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    return found.select("row", clean.alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+    text = F.col(f"row.`{text_col}`")
+    clean = F.when(F.size("spans") > 0, cut(text, "spans")).otherwise(text)
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -256,12 +256,12 @@ def judge(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: fl
     """``docs`` with ``quality_label`` (posterior of its votes), ``quality_score``
     (the scorer's) and ``kept``."""
     shared = broadcast_value(docs.sparkSession, model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: QualityModel = shared.value
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, text_col, "row"):
                 seen = [statistics(t) for t in texts]
                 score = held.scorer.score([features(*x) for x in seen])
                 label = held.labels.posterior(np.array([votes(x[0]) for x in seen]))
@@ -274,9 +274,9 @@ def judge(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: fl
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those that the scorer rejects."""
-    own = [c for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return judge(packed, fit(docs, text_col, sample)).where("kept").select(*[F.col(f"row.`{c}`") for c in own])
+    clash = {c: f"__own_{c}" for c in ("quality_label", "quality_score", "kept") if c in docs.columns}
+    judged = judge(docs.withColumnsRenamed(clash), fit(docs, text_col, sample), text_col)
+    return judged.where("kept").select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARKER = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 #: Segments in a worker's table, and the longest segment for the matrix.
-MEMORY = 300_000
+MEMORY = 120_000
 MATRIX_BYTES = 48
 
 
@@ -165,8 +165,8 @@ class Pieces:
         missing = list({s for x in split if x for s in x if s not in self.memory})
         if len(self.memory) + len(missing) > MEMORY:
             self.memory = {s: self.memory[s] for x in split if x for s in x if s in self.memory}
-        for i in range(0, len(missing), 20_000):
-            self.memory.update(self._solve(missing[i : i + 20_000]))
+        for i in range(0, len(missing), 4_000):
+            self.memory.update(self._solve(missing[i : i + 4_000]))
         get = self.memory.__getitem__
         return [None if x is None else b"".join(map(get, x)) for x in split]
 
@@ -306,12 +306,12 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, id
     """``docs`` with an ``array<int>`` column of piece ids, and with the decoded
     text if ``decoded_col`` is named. A column of the same name is replaced."""
     shared = broadcast_value(docs.sparkSession, load_pieces(model))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _held(shared)
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, text_col, "row"):
                 ids = pieces.encode_all(texts)
                 ends = np.cumsum([0, *[len(x or b"") // 4 for x in ids]])
                 flat = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), dtype=np.int32))

@@ -141,12 +141,12 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
     """``docs`` with the score of each whole text, from 0 to 1; a column of the
     same name is replaced."""
     shared = broadcast_value(docs.sparkSession, model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: FactorizationMachine = shared.value
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, text_col, "row"):
                 yield pa.RecordBatch.from_pydict({"row": rows.column("row"), "score": pa.array(held.score([term_buckets(t) for t in texts]))})
 
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double").select(*[F.col(f"row.`{c}`") for c in docs.columns if c != score_col], F.col("score").alias(score_col))
