@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillbit.plans.oracles import ORACLES
+from quillbit.plans.reference import FLAGSHIP, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -41,3 +41,9 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by ``keys`` over all shuffle partitions. A given number keeps small
+    inputs of costly rows from being coalesced into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
