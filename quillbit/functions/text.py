@@ -14,6 +14,12 @@ LEAST_TEXT, MOST_BRIDGE, LEAST_BINARY = 64, 8, 64
 RESERVED_MB, FIRST_WORKER_MB, NEXT_WORKER_MB, MOST_WORKERS = 512, 1169, 660, 8
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also inside nested functions,
+    where a repeated expression would be computed at each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def latin1(data: Column) -> Column:
     """One character for each byte, so that character classes see bytes."""
     return F.decode(data.cast("binary"), "ISO-8859-1")

@@ -10,14 +10,14 @@ from quillbit.functions import text as T
 from quillbit.operators import chunks, container, entropy, online, segments, tokens
 from quillbit.operators.blobs import gzip_size, pack_blob_column, unpack_blob_column
 from quillbit.operators.codec import encode_chunks
-from quillbit.session import load, spread
+from quillbit.session import balanced, load, spread
 
 CHUNKS, WORKERS = 4, 3
 _WORDS = Config(vocabulary=WORD_VOCABULARY)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents")
+    return balanced(load(spark, d, "documents"))
 
 
 def byte_class_counts(spark, d):
@@ -39,7 +39,7 @@ def segment_rows(spark, d):
 
 
 def segment_summary(spark, d):
-    rows = segments.segments(load(spark, d, "pages"), "page_id", "html")
+    rows = segments.segments(balanced(load(spark, d, "pages")), "page_id", "html")
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("n_bytes"), F.max("len").alias("longest"))
 
 

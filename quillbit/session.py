@@ -47,3 +47,15 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by ``keys`` over all shuffle partitions. A given number keeps small
     inputs of costly rows from being coalesced into one task."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Inputs under so many bytes are dealt over all cores when they are read.
+SMALL_BYTES = 64 << 20
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """A small file often has one row group, which a single task would read and
+    work off alone. Its rows are dealt over the cores; larger inputs, which have
+    row groups enough, are left as they are read."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
