@@ -33,7 +33,7 @@ from quillbit.llm.common import bounded_sample, broadcast_value, letter_words, t
 from quillbit.session import ensure_importable, load
 
 #: Labelled rows that the model is fitted on, hash buckets, terms kept, factors.
-SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 8192, 8
+SAMPLE, BUCKETS, TERMS, FACTORS = 20_000, 1 << 22, 1024, 8
 #: A kept term is in so many sampled texts, and its shares differ by so many
 #: standard errors.
 LEAST_TEXTS, LEAST_Z = 4, 3.0
@@ -58,15 +58,14 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @staticmethod
-    def fit(rows: list[list[int]], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, rounds: int = 500, rate: float = 0.05, decay: float = 3e-4, seed: int = 7) -> FactorizationMachine:
-        n, positive = len(rows), float(labels.sum()) if len(rows) else 0.0
+    def fit(sizes: np.ndarray, flat: np.ndarray, labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+        """``flat`` holds the buckets of all rows, ``sizes`` how many each row has."""
+        n, positive = len(sizes), float(labels.sum()) if len(sizes) else 0.0
         share = np.clip(positive / n, 1e-6, 1 - 1e-6) if n else 0.5
         empty = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, factors)))
         if not n or positive in (0, n):
             return empty
-        sizes = np.array([len(r) for r in rows])
-        flat = np.fromiter((b for r in rows for b in r), dtype=np.int64, count=sizes.sum())
-        row = np.repeat(np.arange(n), sizes)
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
         buckets, column = np.unique(flat, return_inverse=True)
         seen, toxic = np.bincount(column, minlength=len(buckets)), np.bincount(column, labels[row], len(buckets))
         overall = seen / n
@@ -86,6 +85,8 @@ class FactorizationMachine:
         owners = row[starts]
         order = np.argsort(column, kind="stable")
         col_starts = np.searchsorted(column[order], np.arange(d))
+        # The rarer label counts for more, by the root of the odds.
+        weight = np.where(labels > 0, np.sqrt((n - positive) / positive), 1.0)
         for t in range(1, rounds + 1):
             bias, w, v = params
             own = v[column]
@@ -93,9 +94,9 @@ class FactorizationMachine:
             total[owners] = np.add.reduceat(own, starts)
             square = np.bincount(row, (own * own).sum(1), n)
             margin = bias[0] + np.bincount(row, w[column], n) + 0.5 * ((total * total).sum(1) - square)
-            error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) / n
+            error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) / n
             pull = error[row, None] * (total[row] - own)
-            grads = [np.array([error.sum()]), np.bincount(column, error[row], d) + decay * w / 100, np.add.reduceat(pull[order], col_starts) + decay * v]
+            grads = [np.array([error.sum()]), np.bincount(column, error[row], d) + decay * w / 300, np.add.reduceat(pull[order], col_starts) + decay * v]
             for p, g, (m, s) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
     id_type = docs.schema[id_col].dataType.simpleString()
     found = texts.select("id", "label", "text").mapInArrow(terms, f"id {id_type}, label double, buckets array<int>").toArrow().sort_by("id")
-    return FactorizationMachine.fit(found.column("buckets").to_pylist(), np.array(found.column("label").to_pylist(), dtype=float))
+    buckets = found.column("buckets").combine_chunks()
+    return FactorizationMachine.fit(buckets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), buckets.flatten().to_numpy(zero_copy_only=False), found.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
