@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.common import materialize
+from quillbit.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -30,9 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     themselves; the root is the smallest node of the component. Loops, repeated
     edges and either direction are fine; no edges give no rows."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    before = held = None
     for _ in range(MAX_ROUNDS):
         edges = materialize(edges, "stars")
+        if held is not None:
+            discard(held)
+        held = edges
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if state == before or state[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -235,7 +235,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
     least = nodes.join(members, nodes.fp == members.node).groupBy("root").agg(F.min("least").alias("component"))
     known = members.join(least, "root").select(F.col("node").alias("fp"), "component")
-    whole = nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Written, so that the join below shuffles both of its sides itself and Spark can
+    # split the key of a large group of copies.
+    whole = materialize(nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "node-components")
     return prints.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
