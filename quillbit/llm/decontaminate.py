@@ -18,12 +18,12 @@ columns are read for matching, so extra columns of any name pass through
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text whose capitals still stand.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class WindowSet:
