@@ -12,7 +12,8 @@ in the document with the smallest id that carries it, so no wording is lost.
 Cases: a null or empty text has no lines that can go; a line is compared without
 its leading and trailing spaces, and only if it has ``min_words`` words; a null
 site counts as none, but its documents' lines go too; a line that repeats inside
-the first document stays there; repeated rows are treated alike. Extra columns
+the first document stays there, and one that only documents with null ids carry
+stays in all of them; repeated rows are treated alike. Extra columns
 pass through; internal columns live in a nested row and cannot clash.
 """
 
@@ -23,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillbit.functions.text import let
 from quillbit.llm.common import hash128, materialize
 from quillbit.session import load
 
@@ -67,12 +69,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``lines_in`` and ``lines_removed``."""
     lines = materialize(_lines(docs, id_col, text_col, site_col, min_words), "lines")
     spread = spread_lines(lines, min_sites)
-    gone = lines.join(spread, ["h1", "h2"]).where(F.col("first_doc").isNull() | ~F.col("doc").eqNullSafe(F.col("first_doc")))
+    gone = lines.join(spread, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     row = docs.select(*_row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     parts = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
+    left = lambda p: F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")))
+    rest = let(parts, lambda p: F.array_join(F.transform(left(p), lambda i: F.element_at(p, i + 1)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest)
     out = row.join(gone, ["k1", "k2"], "left").select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns], *([F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("lines_in"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("lines_removed")] if counts else []))
     return out
 
