@@ -7,6 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch. Spark's default, 10,000 documents, is tens of MB on both
+#: sides of a worker; kernels work off a batch in slices, so smaller ones cost nothing.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -30,12 +33,15 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 def ensure_importable(spark: SparkSession) -> SparkSession:
     """Let Python workers of a local session import this package whatever their
-    working directory. On a cluster the package comes with ``--py-files``; the
+    working directory, and keep Arrow batches of texts small unless the session
+    has its own setting. On a cluster the package comes with ``--py-files``; the
     extra path entry then names a folder that need not exist."""
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, ROOT])
+    if spark.conf.get(ARROW_ROWS, None) in (None, "10000"):
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark
 
 
