@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column functions on texts, bytes and sizes."""

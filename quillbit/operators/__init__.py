@@ -1 +1,3 @@
-"""See the package README section of the same name."""
+"""Operators: segmentation, chunks, tokens and n-grams, online predictors, entropy
+and quantised tables as DataFrame plans; coder, codec and blobs as row kernels;
+containers that join the two."""

@@ -8,6 +8,7 @@ the very same arithmetic."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -19,31 +20,47 @@ from quillbit.operators.scorer import AdaptiveUnigram, Scorer
 TOGETHER = 64
 
 
+class History:
+    """The last tokens of a sequence as one number, newest in the lowest bits; the
+    number under a mask is the context of an order."""
+
+    __slots__ = ("masks", "seen", "shift", "value")
+
+    def __init__(self, config: Config, most: int):
+        self.shift = max(1, (config.vocabulary - 1).bit_length())
+        self.masks = [(1 << self.shift * k) - 1 for k in range(most + 1)]
+        self.value = self.seen = 0
+
+    def add(self, token: int) -> None:
+        self.value = (self.value << self.shift | token) & self.masks[-1]
+        self.seen += 1
+
+
 class NgramTables:
     """Contexts of each order with the tokens that followed them, for a sequence.
     Both levels are bounded: a full context replaces its oldest single count, or
     takes no more tokens; a full order forgets the context it met first."""
 
-    __slots__ = ("cap", "history", "inner", "tables")
+    __slots__ = ("cap", "history", "inner", "orders", "tables")
 
     def __init__(self, config: Config):
-        self.tables: list[dict[tuple[int, ...], tuple[dict[int, int], list[int]]]] = [{} for _ in range(config.ngram_order)]
-        self.history: tuple[int, ...] = ()
+        self.tables: list[dict[int, tuple[dict[int, int], list[int]]]] = [{} for _ in range(config.ngram_order)]
+        self.history = History(config, config.ngram_order)
+        self.orders = list(zip(self.tables, self.history.masks[1:], strict=True))
         self.inner, self.cap = config.inner_cap, config.ngram_cap
 
-    def found(self) -> list[tuple[int, dict[int, int]]]:
-        """(total, counts) for each order whose context is known, shortest first."""
-        out = []
-        for k in range(1, min(len(self.tables), len(self.history)) + 1):
-            slot = self.tables[k - 1].get(self.history[-k:])
-            if slot is not None:
-                out.append((slot[1][0], slot[0]))
-        return out
+    def _known(self) -> list:
+        return self.orders if self.history.seen >= len(self.orders) else self.orders[: self.history.seen]
+
+    def found(self) -> list[tuple[dict[int, int], list[int]]]:
+        """(counts, [total]) for each order whose context is known, shortest first."""
+        value = self.history.value
+        return [slot for table, mask in self._known() if (slot := table.get(value & mask)) is not None]
 
     def update(self, token: int) -> None:
-        history = self.history
-        for k in range(1, min(len(self.tables), len(history)) + 1):
-            table, key = self.tables[k - 1], history[-k:]
+        value = self.history.value
+        for table, mask in self._known():
+            key = value & mask
             slot = table.get(key)
             if slot is None:
                 if len(table) >= self.cap:
@@ -62,33 +79,40 @@ class NgramTables:
                 if oldest is not None:
                     del counts[oldest]
                     counts[token] = 1
-        self.history = (*history, token)[-len(self.tables) :]
+        self.history.add(token)
 
 
 class MatchTable:
-    """The last token that followed each context of the match orders."""
+    """The last token that followed each context of the match orders, in one table:
+    a key is the context above the order."""
 
-    __slots__ = ("cap", "history", "least", "most", "table")
+    __slots__ = ("cap", "history", "orders", "table")
 
     def __init__(self, config: Config):
-        self.table: dict[tuple[int, ...], int] = {}
-        self.history: tuple[int, ...] = ()
-        self.least, self.most, self.cap = config.lzp_least, config.lzp_order, config.lzp_cap
+        self.table: dict[int, int] = {}
+        self.history = History(config, config.lzp_order)
+        self.orders = [(k, self.history.masks[k]) for k in range(config.lzp_least, config.lzp_order + 1)]
+        self.cap = config.lzp_cap
+
+    def _keys(self) -> list[int]:
+        value, seen = self.history.value, self.history.seen
+        return [(value & mask) << 8 | k for k, mask in self.orders if k <= seen]
 
     def predict(self) -> int:
-        for k in range(min(self.most, len(self.history)), self.least - 1, -1):
-            found = self.table.get(self.history[-k:])
+        table = self.table
+        for key in reversed(self._keys()):
+            found = table.get(key)
             if found is not None:
                 return found
         return -1
 
     def update(self, token: int) -> None:
-        for k in range(self.least, min(self.most, len(self.history)) + 1):
-            key = self.history[-k:]
-            if key not in self.table and len(self.table) >= self.cap:
-                del self.table[next(iter(self.table))]
-            self.table[key] = token
-        self.history = (*self.history, token)[-self.most :]
+        table = self.table
+        for key in self._keys():
+            if len(table) >= self.cap and key not in table:
+                del table[next(iter(table))]
+            table[key] = token
+        self.history.add(token)
 
 
 def entropy_bits(p: np.ndarray) -> np.ndarray:
@@ -123,12 +147,12 @@ class Model:
             if not rows:
                 break
             slots = [found[i][level] for i in rows]
-            totals = np.array([s[0] for s in slots], dtype=float)
+            totals = np.array([s[1][0] for s in slots], dtype=float)
             trust = totals / (totals + 5)
-            sizes = [len(s[1]) for s in slots]
+            sizes = [len(s[0]) for s in slots]
             p[rows] *= (1 - trust)[:, None]
-            ids = np.fromiter((t for s in slots for t in s[1]), dtype=np.int64, count=sum(sizes))
-            counts = np.fromiter((n for s in slots for n in s[1].values()), dtype=float, count=sum(sizes))
+            ids = np.fromiter(chain.from_iterable(s[0] for s in slots), dtype=np.int64, count=sum(sizes))
+            counts = np.fromiter(chain.from_iterable(s[0].values() for s in slots), dtype=float, count=sum(sizes))
             p[np.repeat(rows, sizes), ids] += np.repeat(trust / totals, sizes) * counts
         return p
 

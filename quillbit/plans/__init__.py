@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Queries over the driver's tables, and the same results in DuckDB's SQL."""

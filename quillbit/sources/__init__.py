@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Files in and out: raw inputs, containers and restored files."""

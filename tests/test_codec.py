@@ -89,7 +89,8 @@ def test_ngram_caps():
         ours.update(t)
         plain.update(t)
         for a, b in zip(ours.tables, plain.of, strict=True):
-            assert {k: (dict(c), n[0]) for k, (c, n) in a.items()} == {k: (dict(c), n) for k, (c, n) in b.items()}
+            packed = {sum(t << 8 * i for i, t in enumerate(reversed(k))): (dict(c), n) for k, (c, n) in b.items()}
+            assert {k: (dict(c), n[0]) for k, (c, n) in a.items()} == packed
 
 
 def test_65_continuations():
@@ -101,7 +102,7 @@ def test_65_continuations():
                 t.update(w)
         t.update(1)
         t.update(7)
-        counts, total = t.tables[0][(1,)]
+        counts, total = t.tables[0][1]
         assert len(counts) == 64 and (7 in counts) is not twice
         assert total[0] == (128 if twice else 64)
 
