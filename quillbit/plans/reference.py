@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbit.config import CDF_TOTAL, WORD_VOCABULARY, Config
@@ -129,9 +129,9 @@ def entropy_order(order: int):
 def _byte_shares(spark, d):
     counts = byte_histogram(spark, d)
     every = spark.range(256).select(F.col("id").cast("int").alias("byte"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # One row beside 256: a join with the single row of an aggregate.
-    return every.join(counts, "byte", "left").join(F.broadcast(total)).select("byte", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("p"))
+    # At most 256 rows: the counts of bytes.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return every.join(counts, "byte", "left").select("byte", (F.coalesce("n", F.lit(0)) / total).alias("p"))
 
 
 def entropy_bytes(spark, d):
