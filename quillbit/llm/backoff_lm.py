@@ -1,22 +1,24 @@
 """Language-model scoring by a weighted backoff automaton (operator 5).
 
 Unigrams, bigrams and trigrams are counted over all training texts, by partial
-counts in each task and a sum for each key. The model keeps the words and n-grams
-that are frequent for the corpus (so many that the broadcast model has a fixed
-bound at any size) and that occur clearly more often than the shorter context
-explains. Discounted n-grams become arcs of states, one state for each context;
-a state's failure arc leads to the next shorter context at the cost of its
-backoff weight, so the distribution over the next token sums to one. A text is
-scored by one walk from left to right that carries the state.
-
-At the root stands the add-one unigram over the whole vocabulary. Words beyond
-the broadcast vocabulary are looked up by a join of their counts, which covers
-every word of every text; their part is the same whatever state the walk was in.
+counts in each task and a sum for each key. The model keeps every n-gram of any
+words that occurs ``LEAST`` times, at any size of the corpus, and clearly more often
+than the shorter context explains. Discounted n-grams are the arcs of states, one
+state for each context; a state's failure arc leads to the next shorter context at
+the cost of its backoff weight, so the distribution over the next token sums to one.
+
+The model grows with the corpus, so it is a table in the shared folder. Its most
+frequent rows are broadcast. For all others, each block of texts asks once for each
+of its words and n-grams by a join, and is scored with what it got. A fixed bitmap
+spares questions about n-grams that aren't in the table; it can only let through too
+many. At the root stands the add-one unigram over the whole vocabulary.
+
+Words are known by 64-bit hashes, n-grams by hashes of those. Among the 10^9 rows of a
+model, the chance that any two share a key is about 3 %.
 
 Cases: null and empty texts are a single end token; repeated rows are separate
 texts; with no training text every token is unknown and the unigram gives it
-probability one; counts and sums are of whole texts. Extra columns are ignored,
-and the row number that joins the parts comes from the staged table.
+probability one; counts and sums are of whole texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +29,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.common import broadcast_value, materialize, space_words, text_slices
+from quillbit.llm.common import broadcast_value, discard, materialize, space_words, text_slices
 from quillbit.session import ensure_importable, load
 
-#: Bounds of the broadcast model: words, and n-grams of either length. An n-gram
-#: needs ``max(LEAST, N / NGRAMS)`` occurrences, so at most NGRAMS have them.
+#: Rows of the model that are broadcast: words, and n-grams; all others are joined.
+#: Every n-gram with LEAST occurrences is a candidate at any size.
 WORDS, NGRAMS, LEAST = 1 << 18, 1 << 19, 3
+#: A block closes at so many tokens or texts.
+BLOCK_TOKENS, BLOCK_TEXTS = 1 << 17, 128
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of the bitmap of n-grams, as a power of two.
+BITS = 27
 DISCOUNT = 0.5
 #: Words, or n-grams, that a task counts before it hands the counts on.
 TASK_WORDS, TASK_GRAMS = 300_000, 4_000_000
 FOLDS, FOLD = 7, 2
 #: A token that no word equals.
 END = b"\n"
+#: The seed of Spark's xxhash64, so that both sides have the same word ids.
+SEED = 42
+#: Bits of a word number in a packed n-gram; more than WORDS needs.
 _SHIFT = 20
+BEGIN = xxhash.xxh64_intdigest(b"\n\n", SEED)
 
 
 def held_out(id_col: Column) -> Column:
@@ -172,146 +185,333 @@ def _left(kept: float, shorter: float) -> float:
     return float(np.log10(max(1 - kept, 1e-12) / max(1 - shorter, 1e-12)))
 
 
-# Counting n-grams of numbered texts
+# Keys, and counts of n-grams
+
+
+def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from its context's key and its last word (uint64)."""
+    h = (context ^ (context >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(keys).view(np.int64))
+
+
+def _unsigned(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+
+
+def _line(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, a beginning before each: ids, whether a beginning, the number
+    of the text, and the numbers of the words, of which ``names`` has the ids."""
+    raws = batch.column("ids").to_pylist()
+    sizes = np.array([len(r) // 4 for r in raws], dtype=np.int64)
+    text = np.repeat(np.arange(len(raws)), sizes + 1)
+    begins = np.zeros(len(text), dtype=bool)
+    begins[np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))] = True
+    numbers = np.frombuffer(b"".join(raws), dtype="<i4")
+    own = np.empty(len(numbers), dtype=np.uint64)
+    own[numbers >= 0] = names[numbers[numbers >= 0]]
+    own[numbers < 0] = np.frombuffer(b"".join(batch.column("rare").to_pylist()), dtype="<u8")
+    ids = np.empty(len(text), dtype=np.uint64)
+    ids[begins] = BEGIN
+    ids[~begins] = own
+    number = np.full(len(text), len(names), dtype=np.int64)
+    number[~begins] = numbers
+    return ids, begins, text, number
+
+
+def _within(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << BITS) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
 
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """The bitmap of the column ``k``, made by the tasks; 2^BITS bits at any size."""
+    at = F.col("k").bitwiseAND(F.lit((1 << BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    found = rows.groupBy(F.shiftright(at, 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out[found.column("slot").to_numpy()] = _unsigned(found.column("bits"))
+    return out
 
-def _gram_counts(staged: DataFrame, size: int, begin: int, words: int, known: np.ndarray | None) -> DataFrame:
-    """(key, c) of the n-grams of words numbered below ``words`` in the training
-    texts, or trigrams whose two pairs are among the sorted keys ``known``."""
-    shared = broadcast_value(staged.sparkSession, known)
+
+def _count(staged: DataFrame, names: np.ndarray, size: int, words: np.ndarray, vocab: np.ndarray | None, arcs: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
+    """Bigrams (k, a, b, n) or trigrams (k, a, b, n) of the training texts with LEAST
+    occurrences; a and b are the two words, or the keys of the two pairs. An n-gram
+    has no more occurrences than its parts, so the bitmaps ``words``, ``arcs`` and
+    ``pairs`` leave out only what can't count. N-grams of numbered words are counted
+    as one packed number ``g``, others (g is -1) by the ids of their words.
+    ``vocab``: ids of the words that count, if not all."""
+    shared = broadcast_value(staged.sparkSession, (names, words, vocab, arcs, pairs))
+    columns = ["g", *(f"w{i}" for i in range(size))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        own, enough, listed, first, second = shared.value
+        packed: list[np.ndarray] = []
+        others: list[np.ndarray] = []
         rows = 0
-        pairs = shared.value
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(packed), return_counts=True)
+            none = pa.array(np.zeros(len(keys), dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"g": pa.array(keys)} | dict.fromkeys(columns[1:], none) | {"n": pa.array(n.astype(np.int64))})
+            found = np.concatenate(others, axis=1)
+            one = pa.array(np.ones(found.shape[1], dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"g": pa.array(np.full(found.shape[1], -1))} | {c: _signed(found[i]) for i, c in enumerate(columns[1:])} | {"n": one})
 
         for batch in batches:
-            parts = []
-            for raw in batch.column("ids").to_pylist():
-                parts += [np.array([-1, begin], dtype=np.int32), np.frombuffer(raw, dtype="<i4")]
-            if not parts:
+            if not batch.num_rows:
                 continue
-            ids = np.concatenate(parts).astype(np.int64)
-            ids[(ids >= words) & (ids != begin)] = -1
-            a, b = ids[:-1], ids[1:]
-            ok = (a >= 0) & (b >= 0)
-            keys = (a << _SHIFT) | b
+            ids, begins, _, number = _line(batch, own)
+            known = _within(ids, enough) | begins
+            if listed is not None:
+                known &= np.isin(ids, listed) | begins
+            ok = known[:-1] & known[1:] & ~begins[1:]
             if size == 3:
-                at = np.searchsorted(pairs, keys).clip(max=max(0, len(pairs) - 1))
-                ok &= (pairs[at] == keys) if len(pairs) else False
+                pair = np.flatnonzero(ok)
+                keys = np.zeros(len(ok), dtype=np.uint64)
+                keys[pair] = _mix(ids[pair], ids[pair + 1])
                 ok = ok[:-1] & ok[1:]
-                keys = (keys[:-1] << _SHIFT) | ids[2:]
-            held.append(keys[ok])
-            rows += int(ok.sum())
+                at = np.flatnonzero(ok)
+                at = at[_within(keys[at], first) & _within(keys[at + 1], second)]
+            else:
+                at = np.flatnonzero(ok)
+            parts = [number[at + i] for i in range(size)]
+            g = np.zeros(len(at), dtype=np.int64)
+            for x in parts:
+                g = (g << _SHIFT) | x
+            whole = np.min(parts, axis=0) >= 0
+            packed.append(g[whole])
+            others.append(np.stack([ids[at[~whole] + i] for i in range(size)]))
+            rows += len(at)
             if rows > TASK_GRAMS:
-                yield out()
-                held.clear()
+                yield from out()
+                packed.clear()
+                others.clear()
                 rows = 0
-        if held:
-            yield out()
-
-    return staged.where(~F.col("held_out")).select("ids").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
-
+        if rows:
+            yield from out()
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, ngrams: int = NGRAMS) -> DataFrame:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = np.append(shared.value[0], np.uint64(BEGIN))
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            w = [_unsigned(batch.column(c)).copy() for c in columns[1:]]
+            for i, x in enumerate(w):
+                x[g >= 0] = listed[(g[g >= 0] >> (_SHIFT * (size - 1 - i))) & ((1 << _SHIFT) - 1)]
+            x = _mix(w[0], w[1])
+            keys = (x, w[0], w[1]) if size == 2 else (_mix(x, w[2]), x, _mix(w[1], w[2]))
+            yield pa.RecordBatch.from_pydict(dict(zip("kab", map(_signed, keys), strict=True)) | {"n": batch.column("n")})
+
+    schema = ", ".join(f"{c} bigint" for c in [*columns, "n"])
+    parts = staged.where(~F.col("held_out")).select("ids", "rare").mapInArrow(count, schema)
+    sums = parts.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return sums.mapInArrow(keyed, "k bigint, a bigint, b bigint, n bigint")
+
+
+# The model as tables
+
+
+def _kept(rows: DataFrame, seen: str, expected: str) -> DataFrame:
+    """``rows`` with the discounted chance ``p`` of an arc; null for n-grams that the
+    shorter context explains."""
+    e = F.col(expected)
+    return rows.withColumn("p", F.when(F.col("n") >= e + 3 * F.sqrt(e) + 1, (F.col("n") - DISCOUNT) / F.col(seen)))
+
+
+def _weights(arcs: DataFrame, context: str, shorter: str) -> DataFrame:
+    """(context, bw): log10 weights of the failure arcs, as in ``_left``."""
+    left = F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum(shorter), F.lit(1e-12))
+    return arcs.groupBy(context).agg(F.log10(left).alias("bw"))
+
+
+def model_table(staged: DataFrame, names: np.ndarray, counts: DataFrame, floor: float, vocab: np.ndarray | None) -> DataFrame:
+    """(k, n, p, bw, gram): a word's or arc's key, count, log10 chance and the weight of
+    the state it leads to, if there is one. A beginning has a row as a context."""
+    texts = counts.where(F.col("word") == F.lit(END)).select(F.lit(_int64(BEGIN)).alias("w"), "c")
+    ids = counts.select(F.xxhash64("word").alias("w"), "c")
+    # Only words with LEAST occurrences can be in an n-gram; most have fewer.
+    words = _stored(ids.where(F.col("c") >= LEAST).union(texts), "word-ids")
+    enough = _bitmap(words.select(F.col("w").alias("k")))
+    bigrams = _stored(_count(staged, names, 2, enough, vocab), "pairs")
+    seen = bigrams.join(words.select(F.col("w").alias("a"), F.col("c").alias("seen")), "a")
+    both = seen.join(words.select(F.col("w").alias("b"), ((F.col("c") + 1) / F.lit(floor)).alias("uni")), "b")
+    tested = _kept(both.withColumn("e", F.col("seen") * F.col("uni")), "seen", "e")
+    tested = _stored(tested.select("k", "a", "n", "uni", "p"), "pairs-tested")
+    first = _stored(_weights(tested.where("p is not null"), "a", "uni"), "word-weights")
+    given = F.coalesce("p", F.col("uni") * F.pow(F.lit(10.0), F.coalesce("bw", F.lit(0.0))))
+    pairs = _stored(tested.join(first, "a", "left").select("k", "n", "p", given.alias("given")), "pairs-given")
+    arcs = pairs.where("p is not null")
+    triples = _stored(_count(staged, names, 3, enough, vocab, _bitmap(arcs), _bitmap(pairs)).select("k", F.col("a").alias("x"), F.col("b").alias("bc"), "n"), "triples")
+    found = triples.join(arcs.select(F.col("k").alias("x"), F.col("n").alias("seen")), "x")
+    found = found.join(pairs.select(F.col("k").alias("bc"), "given"), "bc")
+    longer = _kept(found.withColumn("e", F.col("seen") * F.col("given")), "seen", "e").where("p is not null")
+    longer = _stored(longer.select("k", "x", "n", "p", "given"), "triples-tested")
+    second = _stored(_weights(longer, "x", "given"), "pair-weights")
+    unigram = F.log10((F.col("c") + 1) / F.lit(floor))
+    rows = words.join(first, words.w == first.a, "left").select(F.col("w").alias("k"), F.col("c").alias("n"), unigram.alias("p"), "bw", F.lit(False).alias("gram"))
+    rows = rows.union(ids.where(F.col("c") < LEAST).select("w", "c", unigram, F.lit(None).cast("double"), F.lit(False)))
+    rows = rows.union(arcs.join(second, arcs.k == second.x, "left").select("k", "n", F.log10("p"), "bw", F.lit(True)))
+    rows = rows.union(longer.select("k", "n", F.log10("p"), F.lit(None).cast("double"), F.lit(True)))
+    model = _stored(rows, "model")
+    for held in (words, tested, first, pairs, triples, longer, second, bigrams):
+        discard(held)
+    return model
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, after which the shuffle files of the step go. Otherwise they
+    would stay until the driver's JVM collects."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
+def _int64(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, ngrams: int = NGRAMS) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for
-    every text, the model learnt from those that aren't held out."""
+    every text, the model learnt from those that aren't held out. ``words`` limits
+    the words of n-grams to so many; ``ngrams`` is how many of them are broadcast."""
     spark = ensure_importable(docs.sparkSession)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(key.alias("id"), held_out(key).alias("held_out"), text.alias("text"))
-    counts = materialize(token_counts(rows.where(~F.col("held_out")), "text"), "token-counts")
+    counts = _stored(token_counts(rows.where(~F.col("held_out")), "text"), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    floor = total + distinct + 1
-    common, low = frequent(counts, words)
-    found = sorted(((r.c, bytes(r.word)) for r in common.toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    vocab = {w: i for i, (_, w) in enumerate(found)}
-    own = np.array([c for c, _ in found], dtype=np.float64)
-    begin = len(vocab)
-    staged = _number(rows, vocab)
-    least = max(LEAST, -(-total // ngrams))
-    used = int((own >= least).sum())
-    pairs = _collect(_gram_counts(staged, 2, begin, used, None), least)
-    known = np.array(sorted(pairs), dtype=np.int64)
-    triples = _collect(_gram_counts(staged, 3, begin, used, known), least)
-    low_bits = (1 << _SHIFT) - 1
-    texts = int(counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    machine = Automaton.build(
-        own,
-        float(floor),
-        texts,
-        {(k >> _SHIFT, k & low_bits): n for k, n in pairs.items()},
-        {(k >> 2 * _SHIFT, k >> _SHIFT & low_bits, k & low_bits): n for k, n in triples.items()},
-    )
-    walked = _walk(staged, machine)
-    # Every word that isn't in the broadcast vocabulary, with its exact count.
-    rare = staged.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    looked = rare.join(counts.where(F.col("c") < low), "word", "left")
-    parts = looked.groupBy("uid").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1).cast("double") / F.lit(float(floor)))).alias("part"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("part_known"))
-    zero = F.lit(0)
-    return walked.join(parts, "uid", "left").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_common") + F.coalesce("part_known", zero)).cast("bigint").alias("n_known"),
-        F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", zero.cast("double"))).alias("base_score"),
-        (F.col("walked") + F.coalesce("part", zero.cast("double"))).alias("score"),
+    floor = float(total + distinct + 1)
+    vocab = None
+    if words is not None:
+        vocab = np.sort(_unsigned(frequent(counts, words)[0].select(F.xxhash64("word").alias("w")).toArrow().column("w")))
+    common = sorted(((r.c, bytes(r.word)) for r in frequent(counts, WORDS)[0].toLocalIterator()), key=lambda x: (-x[0], x[1]))
+    names = np.array([xxhash.xxh64_intdigest(w, SEED) for _, w in common], dtype=np.uint64)
+    staged = _number(rows, {w: i for i, (_, w) in enumerate(common)})
+    model = model_table(staged, names, counts, floor, vocab)
+    word_rows, gram_rows = model.where(~F.col("gram")), model.where("gram")
+    (top_words, low_word), (top_grams, low_gram) = (frequent(r.withColumnRenamed("n", "c"), most) for r, most in ((word_rows, WORDS), (gram_rows, ngrams)))
+    top = top_words.union(top_grams).select("k", "p", "bw").toArrow()
+    held = _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy())
+    others = model.where(F.col("n") < F.when(F.col("gram"), low_gram).otherwise(low_word))
+    bits = _bitmap(others.where("gram"))
+    asked = _asked(staged, names, held, bits)
+    got = asked.join(others.select("k", "p", "bw"), "k").select("block", "k", "p", "bw")
+    got = _stored(got, "asked")
+    return _score(staged, names, got, held, floor).select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 
 def _number(rows: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """A staged row for each text: its tokens as packed word numbers, -1 for those
-    outside the vocabulary, which are listed with their counts."""
+    """A staged row for each text: its block, its tokens as packed word numbers, -1 for
+    those outside ``vocab``, and the ids of these in their order."""
     shared = broadcast_value(rows.sparkSession, vocab)
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        get, hashed = shared.value.get, xxhash.xxh64_intdigest
+        block, tokens, members = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                ids, rare = [], []
+                ids, rare, blocks = [], [], []
                 for t in texts:
-                    tokens = space_words(t)
-                    tokens.append(END)
-                    own = [get(w, -1) for w in tokens]
+                    line = space_words(t)
+                    line.append(END)
+                    own = [get(w, -1) for w in line]
                     ids.append(np.array(own, dtype="<i4").tobytes())
-                    others = Counter([w for w, i in zip(tokens, own, strict=True) if i < 0]) if -1 in own else {}
-                    rare.append([{"word": w, "n": n} for w, n in others.items()])
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "held_out": part.column("held_out"), "ids": pa.array(ids, pa.binary()), "rare": pa.array(rare, rare_type)})
+                    others = [hashed(w, SEED) for w, i in zip(line, own, strict=True) if i < 0] if -1 in own else []
+                    rare.append(np.array(others, dtype="<u8").tobytes())
+                    if members and (tokens + len(line) > BLOCK_TOKENS or members >= BLOCK_TEXTS):
+                        block, tokens, members = block + 1, 0, 0
+                    tokens, members = tokens + len(line), members + 1
+                    blocks.append(block)
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "held_out": part.column("held_out"), "block": pa.array(blocks, pa.int64()), "ids": pa.array(ids, pa.binary()), "rare": pa.array(rare, pa.binary())})
 
     id_type = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(number, f"id {id_type}, held_out boolean, ids binary, rare array<struct<word: binary, n: bigint>>")
-    return materialize(out.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    return _stored(rows.mapInArrow(number, f"id {id_type}, held_out boolean, block bigint, ids binary, rare binary"), "numbered")
+
+
+def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys)
+    return keys[order], *(v[order] for v in values)
+
+
+def _find(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys stand in the sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.searchsorted(table, keys).clip(max=len(table) - 1)
+    return at, table[at] == keys
 
 
-def _collect(grams: DataFrame, least: int) -> dict[int, int]:
-    """At most tokens / least rows, as each has that many occurrences."""
-    found = grams.where(F.col("c") >= least).toArrow()
-    return dict(zip(found.column("key").to_pylist(), found.column("c").to_pylist(), strict=True))
+def _keys(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the tokens of the texts: word, pair and triple keys, the keys of their two
+    contexts, whether the longer one exists, and the number of the text."""
+    ids, begins, text, _ = _line(batch, names)
+    at = np.flatnonzero(~begins)
+    b, c = ids[at - 1], ids[at]
+    long = ~begins[at - 1]
+    ab = _mix(ids[np.maximum(at - 2, 0)], b)
+    return c, _mix(b, c), _mix(ab, c), b, ab, long, text[at]
 
 
-def _walk(staged: DataFrame, machine: Automaton) -> DataFrame:
-    shared = broadcast_value(staged.sparkSession, machine)
+def _asked(staged: DataFrame, names: np.ndarray, held: tuple[np.ndarray, ...], bits: np.ndarray) -> DataFrame:
+    """(block, k) of what the texts of a block may need of the rows that aren't broadcast."""
+    shared = broadcast_value(staged.sparkSession, (names, held[0], bits))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Automaton = shared.value
-        root = np.array([*held.root, 0.0])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, top, mask = shared.value
         for batch in batches:
-            n, common, base, score = [], [], [], []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, dtype="<i4")
-                n.append(len(ids))
-                common.append(int((ids >= 0).sum()))
-                base.append(float(root[ids].sum()))
-                score.append(held.walk(ids.tolist()))
-            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "id": batch.column("id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_common": pa.array(common, pa.int64()), "base": pa.array(base, pa.float64()), "walked": pa.array(score, pa.float64())})
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                word, pair, triple, _, _, long, _ = _keys(batch.slice(lo, hi - lo), own)
+                grams = np.unique(np.concatenate([pair, triple[long]]))
+                need = np.concatenate([np.unique(word), grams[_within(grams, mask)]])
+                need = need[~_find(need, top)[1]]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(need), blocks[lo])), "k": _signed(need)})
+
+    return staged.select("block", "ids", "rare").mapInArrow(ask, "block bigint, k bigint")
+
+
+def _score(staged: DataFrame, names: np.ndarray, got: DataFrame, held: tuple[np.ndarray, ...], floor: float) -> DataFrame:
+    shared = broadcast_value(staged.sparkSession, (names, held))
+    unknown = -float(np.log10(floor))
+
+    def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        listed, top = shared.value
+        own = _sorted(_unsigned(rows.column("k")), rows.column("p").to_numpy(), rows.column("bw").to_numpy())
+        word, pair, triple, b, ab, long, text = _keys(texts, listed)
+
+        def look(keys: np.ndarray, value: int, default: float) -> tuple[np.ndarray, np.ndarray]:
+            out, found = np.full(len(keys), default), np.zeros(len(keys), dtype=bool)
+            for table in (top, own):
+                at, here = _find(keys, table[0])
+                out[here] = table[value][at[here]]
+                found |= here
+            return np.where(np.isnan(out), default, out), found
+
+        base, known = look(word, 1, unknown)
+        total = look(b, 2, 0.0)[0] + base
+        for keys, weight, some in ((pair, None, np.ones(len(word), dtype=bool)), (triple, ab, long)):
+            if weight is not None:
+                total = total + np.where(some, look(weight, 2, 0.0)[0], 0.0)
+            p, found = look(keys, 1, 0.0)
+            total = np.where(found & some, p, total)
+        n = texts.num_rows
+        sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, total, n)}
+        return pa.table({"id": texts.column("id"), "held_out": texts.column("held_out")} | {k: pa.array(v) for k, v in sums.items()})
 
     id_type = staged.schema["id"].dataType.simpleString()
-    return staged.select("uid", "id", "held_out", "ids").mapInArrow(walk, f"uid bigint, id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, base double, walked double")
+    return staged.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -130,3 +130,16 @@ def test_empty(spark):
     assert tuple(row) == (one, True, 3, 0, 0, 0.0, 0.0)
     row = L.score_texts(spark.createDataFrame([(None, "a b a")], "doc_id long, text string")).first()
     assert row.held_out is False and row.n_tokens == row.n_known == 4
+
+
+def test_threshold_stays_as_the_corpus_grows(spark, monkeypatch):
+    """A cap of the broadcast model must not drop n-grams: the rest comes by joins."""
+    texts = list(enumerate(TEXTS + ["rare pair here", "a rare pair there"] * 6))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    expected, follow, _, _ = brute(texts, 1, L.NGRAMS)
+    monkeypatch.setattr(L, "WORDS", 4)
+    found = {r.doc_id: tuple(r)[1:] for r in L.score_texts(docs, ngrams=3).collect()}
+    assert sum(map(len, follow.values())) > 20
+    for i, want in expected.items():
+        assert found[i][:4] == want[:4]
+        assert math.isclose(found[i][4], want[4], rel_tol=1e-9) and math.isclose(found[i][5], want[5], rel_tol=1e-9), (i, found[i], want)
