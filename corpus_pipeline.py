@@ -28,7 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: of near fingerprints, and of
+    texts that share 0.8 or more of their five-word shingles."""
     return simhash.near_dedup(docs)
 
 

@@ -227,8 +227,10 @@ def linked(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return keyed.mapInArrow(join, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id_col, fp, component_id) for every document."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, jaccard: bool = True) -> DataFrame:
+    """(id_col, fp, component_id) for every document. With ``jaccard``, groups whose
+    first documents share 0.8 or more of their five-word shingles are one group too
+    (ids: bigint); without, groups are those of the fingerprints alone."""
     prints = materialize(fingerprint_table(docs, id_col, text_col, size), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     stars = components(linked(nodes, nodes.count(), radius))
@@ -238,6 +240,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Written, so that the join below shuffles both of its sides itself and Spark can
     # split the key of a large group of copies.
     whole = materialize(nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "node-components")
+    if jaccard:
+        from quillbit.llm.minhash import jaccard_roots
+
+        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+        roots = jaccard_roots(texts, whole.where("component_id is not null").select(F.col("component_id").alias("id")).distinct())
+        further = whole.join(roots, whole.component_id == roots.node, "left")
+        whole = materialize(further.select("fp", F.coalesce("root", "component_id").alias("component_id")), "node-components")
     return prints.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -250,5 +259,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = near_groups(load(spark, sf_dir, "documents"))
+    found = near_groups(load(spark, sf_dir, "documents"), jaccard=False)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
