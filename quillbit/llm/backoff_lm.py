@@ -6,19 +6,23 @@ words that occurs ``LEAST`` times, at any size of the corpus, and clearly more o
 than the shorter context explains. Discounted n-grams are the arcs of states, one
 state for each context; a state's failure arc leads to the next shorter context at
 the cost of its backoff weight, so the distribution over the next token sums to one.
+At the root stands the add-one unigram over the whole vocabulary.
 
 The model grows with the corpus, so it is a table in the shared folder. Its most
 frequent rows are broadcast. For all others, each block of texts asks once for each
-of its words and n-grams by a join, and is scored with what it got. A fixed bitmap
-spares questions about n-grams that aren't in the table; it can only let through too
-many. At the root stands the add-one unigram over the whole vocabulary.
+of its words and n-grams by a join. From both, the block's part of the automaton is
+built, with every state and arc that its texts can reach, and each text is walked
+once from left to right. A fixed bitmap spares questions about n-grams that aren't in
+the table; it can only let through too many.
 
 Words are known by 64-bit hashes, n-grams by hashes of those. Among the 10^9 rows of a
 model, the chance that any two share a key is about 3 %.
 
-Cases: null and empty texts are a single end token; repeated rows are separate
-texts; with no training text every token is unknown and the unigram gives it
-probability one; counts and sums are of whole texts. Extra columns are ignored.
+Cases: null and empty texts are a single end token; a very long text is a block of
+its own; repeated rows are separate texts; with no training text every token is
+unknown and the unigram gives it probability one; words of equal count are numbered
+together or not at all, and those without a number are joined; counts and sums are of
+whole texts. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,11 +44,11 @@ from quillbit.session import ensure_importable, load
 #: Rows of the model that are broadcast: words, and n-grams; all others are joined.
 #: Every n-gram with LEAST occurrences is a candidate at any size.
 WORDS, NGRAMS, LEAST = 1 << 18, 1 << 19, 3
-#: A block closes at so many tokens or texts.
-BLOCK_TOKENS, BLOCK_TEXTS = 1 << 17, 128
+#: A block closes at so many tokens.
+BLOCK_TOKENS = 1 << 17
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the bitmap of n-grams, as a power of two.
-BITS = 27
+BITS = 26
 DISCOUNT = 0.5
 #: Words, or n-grams, that a task counts before it hands the counts on.
 TASK_WORDS, TASK_GRAMS = 300_000, 4_000_000
@@ -102,70 +106,48 @@ def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 @dataclass
 class Automaton:
-    """State 0 is the root. ``arcs[s]`` maps a word number to (log10 probability,
-    next state); ``fail[s]`` is the next shorter context and ``cost[s]`` its weight.
-    ``root[w]`` and ``first[w]`` are the root's arcs."""
+    """State 0 is the root. ``arcs`` maps ``state * words + word`` to (log10
+    probability, next state); ``fail[s]`` is the next shorter context and ``cost[s]``
+    the weight of the way there. ``root[w]`` and ``first[w]`` are the root's arcs."""
 
+    words: int
     root: list[float]
     first: list[int]
-    arcs: list[dict[int, tuple[float, int]]]
+    arcs: dict[int, tuple[float, int]]
     fail: list[int]
     cost: list[float]
-    begin: int
 
     @staticmethod
-    def build(counts: np.ndarray, floor: float, texts: int, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int], discount: float = DISCOUNT) -> Automaton:
-        """``counts`` of the words by number, ``floor`` the unigram's denominator,
-        ``texts`` the number of beginnings (word number ``len(counts)``)."""
-        begin = len(counts)
-        uni = (counts + 1) / floor
-        seen = np.append(counts, texts)
-        after: dict[tuple[int, ...], dict[int, int]] = {}
-        for (a, b), n in pairs.items():
-            expected = seen[a] * uni[b]
-            if n >= expected + 3 * np.sqrt(expected) + 1:
-                after.setdefault((a,), {})[b] = n
-        prob: dict[tuple[int, int], float] = {}
-        state = {(): 0} | {k: i + 1 for i, k in enumerate(after)}
-        cost = [0.0]
-        for (a,), words in after.items():
-            kept = {b: (n - discount) / float(seen[a]) for b, n in words.items()}
-            cost.append(_left(sum(kept.values()), sum(float(uni[b]) for b in words)))
-            prob.update({(a, b): p for b, p in kept.items()})
-
-        def given(a: int, b: int) -> float:
-            p = prob.get((a, b))
-            return p if p is not None else float(uni[b]) * (10 ** cost[state[(a,)]] if (a,) in state else 1.0)
-
-        longer: dict[tuple[int, int], dict[int, int]] = {}
-        for (a, b, c), n in triples.items():
-            expected = pairs[(a, b)] * given(b, c)
-            if n >= expected + 3 * np.sqrt(expected) + 1 and (a, b) in prob:
-                longer.setdefault((a, b), {})[c] = n
-        for key in longer:
-            state[key] = len(state)
-        chances: dict[tuple[int, ...], dict[int, float]] = {(a,): {b: prob[(a, b)] for b in words} for (a,), words in after.items()}
-        for (a, b), words in longer.items():
-            chances[(a, b)] = kept = {c: (n - discount) / pairs[(a, b)] for c, n in words.items()}
-            cost.append(_left(sum(kept.values()), sum(given(b, c) for c in words)))
-        fail = [0] * len(state)
-        arcs: list[dict[int, tuple[float, int]]] = [{} for _ in state]
-        for context, words in chances.items():
-            own = state[context]
-            fail[own] = state.get(context[1:], 0)
-            for w, p in words.items():
-                reached = (*context, w)[-2:]
-                arcs[own][w] = (float(np.log10(p)), state.get(reached, state.get(reached[1:], 0)))
-        return Automaton(np.log10(uni).tolist(), [state.get((w,), 0) for w in range(begin)], arcs, fail, cost, state.get((begin,), 0))
-
-    def walk(self, ids: list[int]) -> float:
-        """log10 probability of the tokens, without the root's part of those
-        numbered -1, which are in no arc."""
-        arcs, fail, cost, root, first = self.arcs, self.fail, self.cost, self.root, self.first
-        state, total = self.begin, 0.0
-        for w in ids:
+    def build(root: np.ndarray, weight: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...]) -> Automaton:
+        """``root`` and ``weight``: log10 chance of each word, and its weight as a
+        context, NaN if it is none. ``pairs``: the two words, chance and weight of
+        each, in the order of a * words + b. ``triples``: the place of the first pair
+        in ``pairs``, the last word, the chance."""
+        n = len(root)
+        a, b, chance, own = pairs
+        of_word = np.zeros(n, dtype=np.int64)
+        known = np.flatnonzero(~np.isnan(weight))
+        of_word[known] = np.arange(1, len(known) + 1)
+        of_pair = np.zeros(len(a), dtype=np.int64)
+        longer = np.flatnonzero(~np.isnan(own))
+        of_pair[longer] = np.arange(len(known) + 1, len(known) + len(longer) + 1)
+        fail = np.concatenate(([0], np.zeros(len(known), dtype=np.int64), of_word[b[longer]]))
+        cost = np.concatenate(([0.0], weight[known], own[longer]))
+        arcs = dict(zip((of_word[a] * n + b).tolist(), zip(chance.tolist(), np.where(of_pair > 0, of_pair, of_word[b]).tolist(), strict=True), strict=True))
+        start, last, p = triples
+        if len(start):
+            at, found = _find(b[start] * n + last, a * n + b)
+            reached = np.where(found & (of_pair[at] > 0), of_pair[at], of_word[last])
+            arcs.update(zip((of_pair[start] * n + last).tolist(), zip(p.tolist(), reached.tolist(), strict=True), strict=True))
+        return Automaton(n, root.tolist(), of_word.tolist(), arcs, fail.tolist(), cost.tolist())
+
+    def walk(self, line: list[int], state: int) -> float:
+        """log10 probability of the words of a text, from a state."""
+        find, n, fail, cost, root, first = self.arcs.get, self.words, self.fail, self.cost, self.root, self.first
+        total = 0.0
+        for w in line:
             while state:
-                arc = arcs[state].get(w)
+                arc = find(state * n + w)
                 if arc is not None:
                     total += arc[0]
                     state = arc[1]
@@ -173,18 +155,11 @@ class Automaton:
                 total += cost[state]
                 state = fail[state]
             else:
-                if w >= 0:
-                    total += root[w]
-                    state = first[w]
+                total += root[w]
+                state = first[w]
         return total
 
 
-def _left(kept: float, shorter: float) -> float:
-    """log10 weight of a failure arc: the mass that is left, over the mass that
-    the shorter context gives to the words without an arc."""
-    return float(np.log10(max(1 - kept, 1e-12) / max(1 - shorter, 1e-12)))
-
-
 # Keys, and counts of n-grams
 
 
@@ -203,24 +178,35 @@ def _unsigned(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def _line(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end, a beginning before each: ids, whether a beginning, the number
-    of the text, and the numbers of the words, of which ``names`` has the ids."""
-    raws = batch.column("ids").to_pylist()
-    sizes = np.array([len(r) // 4 for r in raws], dtype=np.int64)
-    text = np.repeat(np.arange(len(raws)), sizes + 1)
-    begins = np.zeros(len(text), dtype=bool)
-    begins[np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))] = True
-    numbers = np.frombuffer(b"".join(raws), dtype="<i4")
-    own = np.empty(len(numbers), dtype=np.uint64)
-    own[numbers >= 0] = names[numbers[numbers >= 0]]
-    own[numbers < 0] = np.frombuffer(b"".join(batch.column("rare").to_pylist()), dtype="<u8")
-    ids = np.empty(len(text), dtype=np.uint64)
-    ids[begins] = BEGIN
-    ids[~begins] = own
-    number = np.full(len(text), len(names), dtype=np.int64)
-    number[~begins] = numbers
-    return ids, begins, text, number
+def _pack(numbers: np.ndarray) -> bytes:
+    """Word numbers as four compressed planes of bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _lines(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block, its texts end to end, a beginning before each: ids, whether a
+    beginning, the number of the text, and the numbers of the words, of which ``names``
+    has the ids (-1: others; ``len(names)``: a beginning)."""
+    for packed, rare, sizes in zip(batch.column("words"), batch.column("rare"), batch.column("sizes"), strict=True):
+        lengths = np.frombuffer(sizes.as_py(), dtype="<i4").astype(np.int64)
+        numbers = _unpack(packed.as_py(), int(lengths.sum()))
+        own = np.empty(len(numbers), dtype=np.uint64)
+        own[numbers >= 0] = names[numbers[numbers >= 0]]
+        own[numbers < 0] = np.frombuffer(rare.as_py(), dtype="<u8")
+        text = np.repeat(np.arange(len(lengths)), lengths + 1)
+        begins = np.zeros(len(text), dtype=bool)
+        begins[np.cumsum(lengths + 1) - lengths - 1] = True
+        ids = np.full(len(text), BEGIN, dtype=np.uint64)
+        ids[~begins] = own
+        number = np.full(len(text), len(names), dtype=np.int64)
+        number[~begins] = numbers
+        yield ids, begins, text, number
 
 
 def _within(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -232,209 +218,266 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     """The bitmap of the column ``k``, made by the tasks; 2^BITS bits at any size."""
     at = F.col("k").bitwiseAND(F.lit((1 << BITS) - 1))
     bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
-    found = rows.groupBy(F.shiftright(at, 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = _cleaned(rows.sparkSession, lambda: rows.groupBy(F.shiftright(at, 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow())
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     out[found.column("slot").to_numpy()] = _unsigned(found.column("bits"))
     return out
 
 
-def _count(staged: DataFrame, names: np.ndarray, size: int, words: np.ndarray, vocab: np.ndarray | None, arcs: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
-    """Bigrams (k, a, b, n) or trigrams (k, a, b, n) of the training texts with LEAST
-    occurrences; a and b are the two words, or the keys of the two pairs. An n-gram
-    has no more occurrences than its parts, so the bitmaps ``words``, ``arcs`` and
-    ``pairs`` leave out only what can't count. N-grams of numbered words are counted
-    as one packed number ``g``, others (g is -1) by the ids of their words.
-    ``vocab``: ids of the words that count, if not all."""
-    shared = broadcast_value(staged.sparkSession, (names, words, vocab, arcs, pairs))
-    columns = ["g", *(f"w{i}" for i in range(size))]
+@dataclass
+class Common:
+    """The numbered words, most frequent first: ids, counts, and how many texts begin."""
+
+    names: np.ndarray
+    counts: np.ndarray
+    texts: int
+    floor: float
+
+
+def _count(staged: DataFrame, shared, size: int, masks) -> DataFrame:
+    """Bigrams (k, a, b, n, seen, uni) or trigrams (k, a, b, n) of the training texts
+    with LEAST occurrences; a and b are the two words, or the keys of the two pairs;
+    ``seen`` and ``uni`` are null where only a join knows them. ``masks`` are bitmaps
+    of words, arcs and pairs: an n-gram has no more occurrences than its parts, so they
+    leave out only what can't count. An n-gram of numbered words is counted as one
+    packed number, any other as a negative key with the ids of its words."""
+    columns = [f"w{i}" for i in range(size)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, enough, listed, first, second = shared.value
+        common, (enough, first, second) = shared.value, masks.value
+        some = int(np.searchsorted(-common.counts, -LEAST, side="right"))
         packed: list[np.ndarray] = []
         others: list[np.ndarray] = []
         rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate(packed), return_counts=True)
-            none = pa.array(np.zeros(len(keys), dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"g": pa.array(keys)} | dict.fromkeys(columns[1:], none) | {"n": pa.array(n.astype(np.int64))})
-            found = np.concatenate(others, axis=1)
-            one = pa.array(np.ones(found.shape[1], dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"g": pa.array(np.full(found.shape[1], -1))} | {c: _signed(found[i]) for i, c in enumerate(columns[1:])} | {"n": one})
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_pydict({"g": pa.array(keys)} | dict.fromkeys(columns, none) | {"n": pa.array(n.astype(np.int64))})
+            w = np.concatenate(others, axis=1)
+            g = _mix(w[0], w[1]) if size == 2 else _mix(_mix(w[0], w[1]), w[2])
+            one = pa.array(np.ones(len(g), dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"g": _signed(g | np.uint64(1 << 63))} | {c: _signed(w[i]) for i, c in enumerate(columns)} | {"n": one})
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, begins, _, number = _line(batch, own)
-            known = _within(ids, enough) | begins
-            if listed is not None:
-                known &= np.isin(ids, listed) | begins
-            ok = known[:-1] & known[1:] & ~begins[1:]
-            if size == 3:
-                pair = np.flatnonzero(ok)
-                keys = np.zeros(len(ok), dtype=np.uint64)
-                keys[pair] = _mix(ids[pair], ids[pair + 1])
-                ok = ok[:-1] & ok[1:]
-                at = np.flatnonzero(ok)
-                at = at[_within(keys[at], first) & _within(keys[at + 1], second)]
-            else:
-                at = np.flatnonzero(ok)
-            parts = [number[at + i] for i in range(size)]
-            g = np.zeros(len(at), dtype=np.int64)
-            for x in parts:
-                g = (g << _SHIFT) | x
-            whole = np.min(parts, axis=0) >= 0
-            packed.append(g[whole])
-            others.append(np.stack([ids[at[~whole] + i] for i in range(size)]))
-            rows += len(at)
-            if rows > TASK_GRAMS:
-                yield from out()
-                packed.clear()
-                others.clear()
-                rows = 0
+            for ids, begins, _, number in _lines(batch, common.names):
+                known = (number < some) & (number >= 0) | begins
+                known[number < 0] = _within(ids[number < 0], enough)
+                ok = known[:-1] & known[1:] & ~begins[1:]
+                if size == 3:
+                    pair = np.flatnonzero(ok)
+                    keys = _mix(ids[pair], ids[pair + 1])
+                    left, right = np.zeros(len(ok), dtype=bool), np.zeros(len(ok), dtype=bool)
+                    left[pair], right[pair] = _within(keys, first), _within(keys, second)
+                    at = np.flatnonzero(left[:-1] & right[1:])
+                else:
+                    at = np.flatnonzero(ok)
+                parts = [number[at + i] for i in range(size)]
+                g = np.zeros(len(at), dtype=np.int64)
+                for x in parts:
+                    g = (g << _SHIFT) | x
+                whole = np.min(parts, axis=0) >= 0
+                packed.append(g[whole])
+                others.append(np.stack([ids[at[~whole] + i] for i in range(size)]))
+                rows += len(at)
+                if rows > TASK_GRAMS:
+                    yield from out()
+                    packed.clear()
+                    others.clear()
+                    rows = 0
         if rows:
             yield from out()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = np.append(shared.value[0], np.uint64(BEGIN))
+        common = shared.value
+        listed, seen = np.append(common.names, np.uint64(BEGIN)), np.append(common.counts, common.texts).astype(np.int64)
         for batch in batches:
             g = batch.column("g").to_numpy()
-            w = [_unsigned(batch.column(c)).copy() for c in columns[1:]]
-            for i, x in enumerate(w):
-                x[g >= 0] = listed[(g[g >= 0] >> (_SHIFT * (size - 1 - i))) & ((1 << _SHIFT) - 1)]
+            whole = g >= 0
+            places = [(g >> (_SHIFT * (size - 1 - i))) & ((1 << _SHIFT) - 1) for i in range(size)]
+            w = [_unsigned(batch.column(c).fill_null(0)).copy() for c in columns]
+            for x, place in zip(w, places, strict=True):
+                x[whole] = listed[place[whole]]
             x = _mix(w[0], w[1])
             keys = (x, w[0], w[1]) if size == 2 else (_mix(x, w[2]), x, _mix(w[1], w[2]))
-            yield pa.RecordBatch.from_pydict(dict(zip("kab", map(_signed, keys), strict=True)) | {"n": batch.column("n")})
+            out = dict(zip("kab", map(_signed, keys), strict=True)) | {"n": batch.column("n")}
+            if size == 2:
+                a, b = (seen[np.where(whole, p, 0)] for p in places)
+                out |= {"seen": pa.array(a, mask=~whole), "uni": pa.array((b + 1) / common.floor, mask=~whole)}
+            yield pa.RecordBatch.from_pydict(out)
 
-    schema = ", ".join(f"{c} bigint" for c in [*columns, "n"])
-    parts = staged.where(~F.col("held_out")).select("ids", "rare").mapInArrow(count, schema)
-    sums = parts.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return sums.mapInArrow(keyed, "k bigint, a bigint, b bigint, n bigint")
+    schema = ", ".join(f"{c} bigint" for c in ["g", *columns, "n"])
+    parts = staged.where("not held_out").select("words", "rare", "sizes").mapInArrow(count, schema)
+    sums = parts.groupBy("g").agg(*[F.max(c).alias(c) for c in columns], F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return sums.mapInArrow(keyed, "k bigint, a bigint, b bigint, n bigint" + (", seen bigint, uni double" if size == 2 else ""))
 
 
-# The model as tables
+# The model as a table
 
 
-def _kept(rows: DataFrame, seen: str, expected: str) -> DataFrame:
+def _kept(rows: DataFrame, seen: str, expected: Column) -> DataFrame:
     """``rows`` with the discounted chance ``p`` of an arc; null for n-grams that the
     shorter context explains."""
-    e = F.col(expected)
-    return rows.withColumn("p", F.when(F.col("n") >= e + 3 * F.sqrt(e) + 1, (F.col("n") - DISCOUNT) / F.col(seen)))
+    enough = F.col("n") >= expected + 3 * F.sqrt(expected) + 1
+    return rows.withColumn("p", F.when(enough, (F.col("n") - DISCOUNT) / F.col(seen)))
 
 
 def _weights(arcs: DataFrame, context: str, shorter: str) -> DataFrame:
-    """(context, bw): log10 weights of the failure arcs, as in ``_left``."""
+    """(context, bw): log10 weight of the failure arcs: the mass that is left, over the
+    mass that the shorter context gives to the words without an arc."""
     left = F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum(shorter), F.lit(1e-12))
     return arcs.groupBy(context).agg(F.log10(left).alias("bw"))
 
 
-def model_table(staged: DataFrame, names: np.ndarray, counts: DataFrame, floor: float, vocab: np.ndarray | None) -> DataFrame:
+def model_table(staged: DataFrame, shared, counts: DataFrame, low_word: int) -> DataFrame:
     """(k, n, p, bw, gram): a word's or arc's key, count, log10 chance and the weight of
     the state it leads to, if there is one. A beginning has a row as a context."""
-    texts = counts.where(F.col("word") == F.lit(END)).select(F.lit(_int64(BEGIN)).alias("w"), "c")
+    spark, common = staged.sparkSession, shared.value
+    floor = common.floor
+    unigram = (F.col("c") + 1) / F.lit(floor)
     ids = counts.select(F.xxhash64("word").alias("w"), "c")
+    begin = spark.range(1).select(F.lit(_int64(BEGIN)).alias("w"), F.lit(common.texts).cast("bigint").alias("c"))
     # Only words with LEAST occurrences can be in an n-gram; most have fewer.
-    words = _stored(ids.where(F.col("c") >= LEAST).union(texts), "word-ids")
-    enough = _bitmap(words.select(F.col("w").alias("k")))
-    bigrams = _stored(_count(staged, names, 2, enough, vocab), "pairs")
-    seen = bigrams.join(words.select(F.col("w").alias("a"), F.col("c").alias("seen")), "a")
-    both = seen.join(words.select(F.col("w").alias("b"), ((F.col("c") + 1) / F.lit(floor)).alias("uni")), "b")
-    tested = _kept(both.withColumn("e", F.col("seen") * F.col("uni")), "seen", "e")
-    tested = _stored(tested.select("k", "a", "n", "uni", "p"), "pairs-tested")
+    words = _stored(ids.where(F.col("c") >= LEAST).union(begin), "word-ids")
+    unnumbered = words.where(F.col("c") < low_word)
+    none = np.zeros(0, dtype=np.uint64)
+    enough = _bitmap(unnumbered.select(F.col("w").alias("k")))
+    bigrams = _stored(_count(staged, shared, 2, broadcast_value(spark, (enough, none, none))), "pairs")
+    # Words with a number have brought their counts along; only the others are joined.
+    rest = bigrams.where("seen is null").drop("seen", "uni")
+    rest = rest.join(words.select(F.col("w").alias("a"), F.col("c").alias("seen")), "a").join(words.select(F.col("w").alias("b"), unigram.alias("uni")), "b")
+    both = bigrams.where("seen is not null").unionByName(rest)
+    tested = _kept(both, "seen", F.col("seen") * F.col("uni")).select("k", "a", "n", "uni", "p")
     first = _stored(_weights(tested.where("p is not null"), "a", "uni"), "word-weights")
     given = F.coalesce("p", F.col("uni") * F.pow(F.lit(10.0), F.coalesce("bw", F.lit(0.0))))
     pairs = _stored(tested.join(first, "a", "left").select("k", "n", "p", given.alias("given")), "pairs-given")
+    discard(bigrams)
     arcs = pairs.where("p is not null")
-    triples = _stored(_count(staged, names, 3, enough, vocab, _bitmap(arcs), _bitmap(pairs)).select("k", F.col("a").alias("x"), F.col("b").alias("bc"), "n"), "triples")
-    found = triples.join(arcs.select(F.col("k").alias("x"), F.col("n").alias("seen")), "x")
-    found = found.join(pairs.select(F.col("k").alias("bc"), "given"), "bc")
-    longer = _kept(found.withColumn("e", F.col("seen") * F.col("given")), "seen", "e").where("p is not null")
+    masks = broadcast_value(spark, (enough, _bitmap(arcs), _bitmap(pairs)))
+    triples = _stored(_count(staged, shared, 3, masks).select("k", F.col("a").alias("x"), F.col("b").alias("bc"), "n"), "triples")
+    found = triples.join(arcs.select(F.col("k").alias("x"), F.col("n").alias("seen")), "x").join(pairs.select(F.col("k").alias("bc"), "given"), "bc")
+    longer = _kept(found, "seen", F.col("seen") * F.col("given")).where("p is not null")
     longer = _stored(longer.select("k", "x", "n", "p", "given"), "triples-tested")
-    second = _stored(_weights(longer, "x", "given"), "pair-weights")
-    unigram = F.log10((F.col("c") + 1) / F.lit(floor))
-    rows = words.join(first, words.w == first.a, "left").select(F.col("w").alias("k"), F.col("c").alias("n"), unigram.alias("p"), "bw", F.lit(False).alias("gram"))
-    rows = rows.union(ids.where(F.col("c") < LEAST).select("w", "c", unigram, F.lit(None).cast("double"), F.lit(False)))
+    discard(triples)
+    second = _weights(longer, "x", "given")
+    of_words = words.join(first, words.w == first.a, "left").select(F.col("w").alias("k"), F.col("c").alias("n"), F.log10(unigram).alias("p"), "bw", F.lit(False).alias("gram"))
+    rows = of_words.union(ids.where(F.col("c") < LEAST).select("w", "c", F.log10(unigram), F.lit(None).cast("double"), F.lit(False)))
     rows = rows.union(arcs.join(second, arcs.k == second.x, "left").select("k", "n", F.log10("p"), "bw", F.lit(True)))
     rows = rows.union(longer.select("k", "n", F.log10("p"), F.lit(None).cast("double"), F.lit(True)))
     model = _stored(rows, "model")
-    for held in (words, tested, first, pairs, triples, longer, second, bigrams):
+    for held in (words, first, pairs, longer):
         discard(held)
     return model
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """``materialize``, after which the shuffle files of the step go. Otherwise they
-    would stay until the driver's JVM collects."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+def _cleaned(spark, run):
+    """``run``, after which the shuffle files of its queries go. Otherwise they would
+    stay until the driver's JVM collects."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return materialize(df, label)
+        return run()
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    return _cleaned(df.sparkSession, lambda: materialize(df, label))
 
 
 def _int64(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, ngrams: int = NGRAMS) -> DataFrame:
+# Scoring
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngrams: int = NGRAMS) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for
-    every text, the model learnt from those that aren't held out. ``words`` limits
-    the words of n-grams to so many; ``ngrams`` is how many of them are broadcast."""
+    every text, the model learnt from those that aren't held out. ``ngrams`` is how
+    many n-grams are broadcast; it has no effect on the scores."""
     spark = ensure_importable(docs.sparkSession)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(key.alias("id"), held_out(key).alias("held_out"), text.alias("text"))
     counts = _stored(token_counts(rows.where(~F.col("held_out")), "text"), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    floor = float(total + distinct + 1)
-    vocab = None
-    if words is not None:
-        vocab = np.sort(_unsigned(frequent(counts, words)[0].select(F.xxhash64("word").alias("w")).toArrow().column("w")))
-    common = sorted(((r.c, bytes(r.word)) for r in frequent(counts, WORDS)[0].toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    names = np.array([xxhash.xxh64_intdigest(w, SEED) for _, w in common], dtype=np.uint64)
-    staged = _number(rows, {w: i for i, (_, w) in enumerate(common)})
-    model = model_table(staged, names, counts, floor, vocab)
-    word_rows, gram_rows = model.where(~F.col("gram")), model.where("gram")
-    (top_words, low_word), (top_grams, low_gram) = (frequent(r.withColumnRenamed("n", "c"), most) for r, most in ((word_rows, WORDS), (gram_rows, ngrams)))
-    top = top_words.union(top_grams).select("k", "p", "bw").toArrow()
-    held = _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy())
+    ends = counts.where(F.col("word") == F.lit(END)).first()
+    chosen, low_word = frequent(counts, WORDS)
+    found = chosen.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    listed = found.column("word").to_pylist()
+    names = np.array([xxhash.xxh64_intdigest(w, SEED) for w in listed], dtype=np.uint64)
+    shared = broadcast_value(spark, Common(names, found.column("c").to_numpy(), int(ends.c) if ends else 0, float(total + distinct + 1)))
+    staged = _number(rows, {w: i for i, w in enumerate(listed)})
+    model = model_table(staged, shared, counts, low_word)
+    discard(counts)
+    top_grams, low_gram = frequent(model.where("gram").withColumnRenamed("n", "c"), ngrams)
+    top = model.where(~F.col("gram") & (F.col("n") >= low_word)).select("k", "p", "bw").union(top_grams.select("k", "p", "bw")).toArrow()
+    held = broadcast_value(spark, _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy()))
     others = model.where(F.col("n") < F.when(F.col("gram"), low_gram).otherwise(low_word))
-    bits = _bitmap(others.where("gram"))
-    asked = _asked(staged, names, held, bits)
+    asked = _asked(staged, shared, held, broadcast_value(spark, _bitmap(others.where("gram"))))
     got = asked.join(others.select("k", "p", "bw"), "k").select("block", "k", "p", "bw")
-    got = _stored(got, "asked")
-    return _score(staged, names, got, held, floor).select(
+    return _score(staged, shared, held, got).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 
 def _number(rows: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """A staged row for each text: its block, its tokens as packed word numbers, -1 for
-    those outside ``vocab``, and the ids of these in their order."""
+    """A staged row for each block of texts of one fold: their ids, numbers of tokens,
+    tokens as packed word numbers, -1 for those outside ``vocab``, and the ids of these
+    in their order."""
     shared = broadcast_value(rows.sparkSession, vocab)
+    schema = f"block bigint, held_out boolean, id array<{rows.schema['id'].dataType.simpleString()}>, sizes binary, words binary, rare binary"
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, hashed = shared.value.get, xxhash.xxh64_intdigest
-        block, tokens, members = TaskContext.get().partitionId() << 32, 0, 0
+        made = 0
+        open_blocks = {False: _Block(), True: _Block()}
+
+        def out(fold: bool) -> pa.RecordBatch:
+            nonlocal made
+            block, open_blocks[fold] = open_blocks[fold], _Block()
+            made += 1
+            ids = pa.concat_arrays(block.ids)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
+                    "held_out": pa.array([fold]),
+                    "id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    "sizes": pa.array([np.array(block.sizes, dtype="<i4").tobytes()], pa.binary()),
+                    "words": pa.array([_pack(np.concatenate(block.words))], pa.binary()),
+                    "rare": pa.array([np.array(block.rare, dtype="<u8").tobytes()], pa.binary()),
+                }
+            )
+
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                ids, rare, blocks = [], [], []
-                for t in texts:
+                for i, (t, fold) in enumerate(zip(texts, part.column("held_out").to_pylist(), strict=True)):
+                    block = open_blocks[fold]
                     line = space_words(t)
                     line.append(END)
                     own = [get(w, -1) for w in line]
-                    ids.append(np.array(own, dtype="<i4").tobytes())
-                    others = [hashed(w, SEED) for w, i in zip(line, own, strict=True) if i < 0] if -1 in own else []
-                    rare.append(np.array(others, dtype="<u8").tobytes())
-                    if members and (tokens + len(line) > BLOCK_TOKENS or members >= BLOCK_TEXTS):
-                        block, tokens, members = block + 1, 0, 0
-                    tokens, members = tokens + len(line), members + 1
-                    blocks.append(block)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "held_out": part.column("held_out"), "block": pa.array(blocks, pa.int64()), "ids": pa.array(ids, pa.binary()), "rare": pa.array(rare, pa.binary())})
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    return _stored(rows.mapInArrow(number, f"id {id_type}, held_out boolean, block bigint, ids binary, rare binary"), "numbered")
+                    if -1 in own:
+                        block.rare += [hashed(w, SEED) for w, k in zip(line, own, strict=True) if k < 0]
+                    block.ids.append(part.column("id").slice(i, 1))
+                    block.sizes.append(len(line))
+                    block.words.append(np.array(own, dtype="<i4"))
+                    block.tokens += len(line)
+                    if block.tokens >= BLOCK_TOKENS:
+                        yield out(fold)
+        for fold in (False, True):
+            if open_blocks[fold].ids:
+                yield out(fold)
+
+    return _stored(rows.mapInArrow(number, schema), "numbered")
+
+
+class _Block:
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.sizes: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.rare: list[int] = []
+        self.tokens = 0
 
 
 def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -450,67 +493,78 @@ def _find(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _keys(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the tokens of the texts: word, pair and triple keys, the keys of their two
-    contexts, whether the longer one exists, and the number of the text."""
-    ids, begins, text, _ = _line(batch, names)
-    at = np.flatnonzero(~begins)
-    b, c = ids[at - 1], ids[at]
-    long = ~begins[at - 1]
-    ab = _mix(ids[np.maximum(at - 2, 0)], b)
-    return c, _mix(b, c), _mix(ab, c), b, ab, long, text[at]
-
-
-def _asked(staged: DataFrame, names: np.ndarray, held: tuple[np.ndarray, ...], bits: np.ndarray) -> DataFrame:
+def _asked(staged: DataFrame, shared, held, bits) -> DataFrame:
     """(block, k) of what the texts of a block may need of the rows that aren't broadcast."""
-    shared = broadcast_value(staged.sparkSession, (names, held[0], bits))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, top, mask = shared.value
+        top, mask = held.value[0], bits.value
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                word, pair, triple, _, _, long, _ = _keys(batch.slice(lo, hi - lo), own)
-                grams = np.unique(np.concatenate([pair, triple[long]]))
-                need = np.concatenate([np.unique(word), grams[_within(grams, mask)]])
+            for number, (ids, begins, _, words) in zip(batch.column("block").to_pylist(), _lines(batch, shared.value.names), strict=True):
+                inner = np.flatnonzero(~begins)
+                pair = _mix(ids[inner - 1], ids[inner])
+                longer = np.flatnonzero(~begins[inner - 1])
+                grams = np.concatenate([pair, _mix(pair[longer - 1], ids[inner[longer]])])
+                need = np.concatenate([np.unique(ids[(words < 0) | begins]), np.unique(grams[_within(grams, mask)])])
                 need = need[~_find(need, top)[1]]
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(need), blocks[lo])), "k": _signed(need)})
-
-    return staged.select("block", "ids", "rare").mapInArrow(ask, "block bigint, k bigint")
-
-
-def _score(staged: DataFrame, names: np.ndarray, got: DataFrame, held: tuple[np.ndarray, ...], floor: float) -> DataFrame:
-    shared = broadcast_value(staged.sparkSession, (names, held))
-    unknown = -float(np.log10(floor))
-
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(need), number)), "k": _signed(need)})
+
+    return staged.select("block", "words", "rare", "sizes").mapInArrow(ask, "block bigint, k bigint")
+
+
+def local_automaton(ids: np.ndarray, begins: np.ndarray, look, unknown: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The states and arcs that a block's texts can reach, the numbers of their words
+    in it, and which words are known. ``look`` gives the log10 chance and weight of
+    keys, NaN where there is none."""
+    words, number = np.unique(ids, return_inverse=True)
+    root, weight = look(words)
+    inner = np.flatnonzero(~begins)
+    keys, of = np.unique(_mix(ids[inner - 1], ids[inner]), return_inverse=True)
+    chance, own = look(keys)
+    place = np.zeros(len(keys), dtype=np.int64)
+    place[of] = inner
+    kept = np.flatnonzero(~np.isnan(chance))
+    order = np.argsort(number[place[kept] - 1] * len(words) + number[place[kept]])
+    kept = kept[order]
+    rank = np.full(len(keys), -1)
+    rank[kept] = np.arange(len(kept))
+    a, b = number[place[kept] - 1], number[place[kept]]
+    # Only a pair that is a state has longer arcs.
+    after = np.flatnonzero(~begins[inner - 1])
+    after = after[(rank[of[after - 1]] >= 0) & ~np.isnan(own[of[after - 1]])]
+    grams, index = np.unique(_mix(keys[of[after - 1]], ids[inner[after]]), return_index=True)
+    further = look(grams)[0]
+    index = after[index[~np.isnan(further)]]
+    triples = (rank[of[index - 1]], number[inner[index]], further[~np.isnan(further)])
+    known = ~np.isnan(root)
+    return Automaton.build(np.where(known, root, unknown), weight, (a, b, chance[kept], own[kept]), triples), number, known
+
+
+def _score(staged: DataFrame, shared, held, got: DataFrame) -> DataFrame:
     def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        listed, top = shared.value
+        common = shared.value
         own = _sorted(_unsigned(rows.column("k")), rows.column("p").to_numpy(), rows.column("bw").to_numpy())
-        word, pair, triple, b, ab, long, text = _keys(texts, listed)
 
-        def look(keys: np.ndarray, value: int, default: float) -> tuple[np.ndarray, np.ndarray]:
-            out, found = np.full(len(keys), default), np.zeros(len(keys), dtype=bool)
-            for table in (top, own):
+        def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            p, weight = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+            for table in (held.value, own):
                 at, here = _find(keys, table[0])
-                out[here] = table[value][at[here]]
-                found |= here
-            return np.where(np.isnan(out), default, out), found
-
-        base, known = look(word, 1, unknown)
-        total = look(b, 2, 0.0)[0] + base
-        for keys, weight, some in ((pair, None, np.ones(len(word), dtype=bool)), (triple, ab, long)):
-            if weight is not None:
-                total = total + np.where(some, look(weight, 2, 0.0)[0], 0.0)
-            p, found = look(keys, 1, 0.0)
-            total = np.where(found & some, p, total)
-        n = texts.num_rows
-        sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, total, n)}
-        return pa.table({"id": texts.column("id"), "held_out": texts.column("held_out")} | {k: pa.array(v) for k, v in sums.items()})
-
-    id_type = staged.schema["id"].dataType.simpleString()
+                p[here], weight[here] = table[1][at[here]], table[2][at[here]]
+            return p, weight
+
+        out = []
+        for (ids, begins, text, _), fold, names in zip(_lines(texts, common.names), texts.column("held_out").to_pylist(), texts.column("id"), strict=True):
+            model, number, known = local_automaton(ids, begins, look, -float(np.log10(common.floor)))
+            start = model.first[number[0]]
+            line, text = number[~begins], text[~begins]
+            n = len(names.values)
+            ends = np.searchsorted(text, np.arange(n + 1)).tolist()
+            listed = line.tolist()
+            sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known[line], n).astype(np.int64), "base_score": np.bincount(text, np.array(model.root)[line], n)}
+            sums["score"] = np.array([model.walk(listed[lo:hi], start) for lo, hi in zip(ends, ends[1:], strict=False)])
+            out.append(pa.table({"id": names.values, "held_out": pa.array(np.full(n, fold))} | {k: pa.array(v) for k, v in sums.items()}))
+        return pa.concat_tables(out)
+
+    id_type = staged.schema["id"].dataType.elementType.simpleString()
     return staged.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 

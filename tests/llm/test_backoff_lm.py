@@ -3,7 +3,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 
 from quillbit.llm import backoff_lm as L
 
@@ -18,16 +17,15 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(texts, words, ngrams):
+def brute(texts):
     """The same model from its definition: plain dictionaries of contexts, and a
     recursive backoff instead of states."""
     train = [tokens(t) for i, t in texts if not held(i)]
     c = Counter(w for t in train for w in t)
     total, floor = sum(c.values()), sum(c.values()) + len(c) + 1
     uni = lambda w: (c[w] + 1) / floor
-    vocab = {w for w in c if c[w] >= words}
-    least = max(L.LEAST, -(-total // ngrams))
-    use = {w for w in vocab if c[w] >= least}
+    least = L.LEAST
+    use = {w for w in c if c[w] >= least}
     pair, triple = Counter(), Counter()
     for t in train:
         line = [None, *t]
@@ -77,43 +75,46 @@ def brute(texts, words, ngrams):
     return out, follow, uni, c
 
 
-@pytest.mark.parametrize("words,low", [(1 << 18, 1), (8, None)])
-def test_against_the_definition(spark, words, low):
+def test_against_the_definition(spark):
     texts = list(enumerate(TEXTS))
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts], "doc_id long, text string, score double")
-    found = {r.doc_id: tuple(r)[1:] for r in L.score_texts(docs, words=words).collect()}
-    if low is None:
-        counts = L.token_counts(docs.where(~L.held_out(docs.doc_id)), "text")
-        _, low = L.frequent(counts, words)
-    expected, follow, _, _ = brute(texts, low, L.NGRAMS)
+    found = {r.doc_id: tuple(r)[1:] for r in L.score_texts(docs).collect()}
+    expected, follow, _, _ = brute(texts)
     assert follow
     for i, want in expected.items():
         assert found[i][:4] == want[:4]
         assert math.isclose(found[i][4], want[4], rel_tol=1e-9) and math.isclose(found[i][5], want[5], rel_tol=1e-9), (i, TEXTS[i], found[i], want)
 
 
-def test_each_state_is_a_distribution():
-    rng = np.random.default_rng(3)
-    counts = np.sort(rng.integers(20, 400, 30))[::-1].astype(float)
-    floor = counts.sum() + 31
-    pairs = {(int(a), int(b)): int(rng.integers(1, max(2, counts[a] // 4))) for a in range(30) for b in rng.choice(30, 3, replace=False)}
-    pairs |= {(30, int(b)): 5 for b in range(3)}
-    triples = {(a, b, int(d)): max(1, n // 2) for (a, b), n in pairs.items() if a < 30 for d in rng.choice(30, 2, replace=False)}
-    m = L.Automaton.build(counts, floor, 20, pairs, triples)
-    assert len(m.arcs) > 10 and any(m.fail)
-
-    def chance(state, w):
-        cost = 0.0
-        while state and w not in m.arcs[state]:
-            cost, state = cost + m.cost[state], m.fail[state]
-        return 10 ** (cost + (m.arcs[state][w][0] if state else m.root[w]))
-
-    unknown = 1 / floor
-    for state in range(len(m.arcs)):
-        cost, s = 0.0, state
+def test_each_state_is_a_distribution(spark, monkeypatch):
+    """Over the whole vocabulary and what is unknown, from every state of the model."""
+    kept = []
+    stored = L._stored
+    monkeypatch.setattr(L, "_stored", lambda df, label: kept.append((label, stored(df, label))) or kept[-1][1])
+    texts = list(enumerate(TEXTS))
+    L.score_texts(spark.createDataFrame(texts, "doc_id long, text string"))
+    rows = {r.k & (1 << 64) - 1: (r.p, math.nan if r.bw is None else r.bw) for r in dict(kept)["model"].collect()}
+    train = [tokens(t) for i, t in texts if not held(i)]
+    words = sorted({w for t in train for w in t})
+    floor = sum(map(len, train)) + len(words) + 1
+    ids, begins = [], []
+    for t in train:
+        ids += [L.BEGIN, *(L.xxhash.xxh64_intdigest(w, L.SEED) for w in t)]
+        begins += [True, *[False] * len(t)]
+
+    def look(keys):
+        found = [rows.get(int(k), (math.nan, math.nan)) for k in keys]
+        return np.array([x[0] for x in found], dtype=float), np.array([x[1] for x in found], dtype=float)
+
+    m, number, known = L.local_automaton(np.array(ids, dtype=np.uint64), np.array(begins), look, -math.log10(floor))
+    begin = int(number[0])
+    real = [w for w in range(m.words) if w != begin]
+    assert len(real) == len(words) and len(m.fail) > 10 and any(m.fail) and known[real].all()
+    for state in range(len(m.fail)):
+        unknown, s = -math.log10(floor), state
         while s:
-            cost, s = cost + m.cost[s], m.fail[s]
-        assert math.isclose(sum(chance(state, w) for w in range(30)) + unknown * 10**cost, 1, rel_tol=1e-9)
+            unknown, s = unknown + m.cost[s], m.fail[s]
+        assert math.isclose(sum(10 ** m.walk([w], state) for w in real) + 10**unknown, 1, rel_tol=1e-9)
 
 
 def test_held_out_texts_gain(spark):
@@ -136,8 +137,9 @@ def test_threshold_stays_as_the_corpus_grows(spark, monkeypatch):
     """A cap of the broadcast model must not drop n-grams: the rest comes by joins."""
     texts = list(enumerate(TEXTS + ["rare pair here", "a rare pair there"] * 6))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    expected, follow, _, _ = brute(texts, 1, L.NGRAMS)
+    expected, follow, _, _ = brute(texts)
     monkeypatch.setattr(L, "WORDS", 4)
+    monkeypatch.setattr(L, "BLOCK_TOKENS", 30)
     found = {r.doc_id: tuple(r)[1:] for r in L.score_texts(docs, ngrams=3).collect()}
     assert sum(map(len, follow.values())) > 20
     for i, want in expected.items():
