@@ -27,9 +27,10 @@ whole texts. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -45,48 +46,41 @@ from quillbit.session import ensure_importable, load
 #: Every n-gram with LEAST occurrences is a candidate at any size.
 WORDS, NGRAMS, LEAST = 1 << 18, 1 << 19, 3
 #: A block closes at so many tokens.
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 18
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the bitmap of n-grams, as a power of two.
 BITS = 26
 DISCOUNT = 0.5
-#: Words, or n-grams, that a task counts before it hands the counts on.
-TASK_WORDS, TASK_GRAMS = 300_000, 4_000_000
+#: N-grams that a task counts before it hands the counts on.
+TASK_GRAMS = 4_000_000
 FOLDS, FOLD = 7, 2
 #: A token that no word equals.
 END = b"\n"
-#: The seed of Spark's xxhash64, so that both sides have the same word ids.
 SEED = 42
 #: Bits of a word number in a packed n-gram; more than WORDS needs.
 _SHIFT = 20
-BEGIN = xxhash.xxh64_intdigest(b"\n\n", SEED)
+BEGIN, END_ID = (xxhash.xxh64_intdigest(w, SEED) for w in (b"\n\n", END))
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == FOLD, F.lit(False))
 
 
-def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, c) over the texts, an end for each."""
+def token_counts(staged: DataFrame) -> DataFrame:
+    """(w, c) over the training texts' blocks, an end for each text; of a beginning,
+    the count is zero."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
-
         for batch in batches:
-            for _, texts in text_slices(batch, "text"):
-                for t in texts:
-                    held.update(space_words(t))
-                held[END] += len(texts)
-                if len(held) > TASK_WORDS:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+            lines = list(_lines(batch))
+            if lines:
+                ids, of = np.unique(np.concatenate([x[0] for x in lines]), return_inverse=True)
+                n = np.bincount(of, np.concatenate([np.bincount(codes, minlength=len(own)) for own, codes, _ in lines]))
+                n[ids == BEGIN] = 0
+                yield pa.RecordBatch.from_pydict({"w": _signed(ids), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    parts = staged.where("not held_out").select("words", "codes").mapInArrow(count, "w bigint, n bigint")
+    return parts.groupBy("w").agg(F.sum("n").alias("c")).where("c > 0")
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -108,9 +102,15 @@ def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
 class Automaton:
     """State 0 is the root. ``arcs`` maps ``state * words + word`` to (log10
     probability, next state); ``fail[s]`` is the next shorter context and ``cost[s]``
-    the weight of the way there. ``root[w]`` and ``first[w]`` are the root's arcs."""
+    the weight of the way there. ``root[w]`` and ``first[w]`` are the root's arcs, and
+    ``base[w]`` the root's chances by themselves.
+
+    A state that has no arc here is left by its failure arc whatever follows, so arcs
+    that lead to it pay for that and go on to where it leads. Only what ends a text is
+    followed by nothing; the arcs of ``end`` pay nothing more."""
 
     words: int
+    base: np.ndarray
     root: list[float]
     first: list[int]
     arcs: dict[int, tuple[float, int]]
@@ -118,13 +118,15 @@ class Automaton:
     cost: list[float]
 
     @staticmethod
-    def build(root: np.ndarray, weight: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...]) -> Automaton:
+    def build(root: np.ndarray, weight: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], end: int | None = None) -> Automaton:
         """``root`` and ``weight``: log10 chance of each word, and its weight as a
         context, NaN if it is none. ``pairs``: the two words, chance and weight of
         each, in the order of a * words + b. ``triples``: the place of the first pair
-        in ``pairs``, the last word, the chance."""
+        in ``pairs``, the last word, the chance. Without ``end`` every arc leads to its
+        own state and pays for itself only."""
         n = len(root)
         a, b, chance, own = pairs
+        start, last, p = triples
         of_word = np.zeros(n, dtype=np.int64)
         known = np.flatnonzero(~np.isnan(weight))
         of_word[known] = np.arange(1, len(known) + 1)
@@ -133,18 +135,32 @@ class Automaton:
         of_pair[longer] = np.arange(len(known) + 1, len(known) + len(longer) + 1)
         fail = np.concatenate(([0], np.zeros(len(known), dtype=np.int64), of_word[b[longer]]))
         cost = np.concatenate(([0.0], weight[known], own[longer]))
-        arcs = dict(zip((of_word[a] * n + b).tolist(), zip(chance.tolist(), np.where(of_pair > 0, of_pair, of_word[b]).tolist(), strict=True), strict=True))
-        start, last, p = triples
-        if len(start):
-            at, found = _find(b[start] * n + last, a * n + b)
-            reached = np.where(found & (of_pair[at] > 0), of_pair[at], of_word[last])
-            arcs.update(zip((of_pair[start] * n + last).tolist(), zip(p.tolist(), reached.tolist(), strict=True), strict=True))
-        return Automaton(n, root.tolist(), of_word.tolist(), arcs, fail.tolist(), cost.tolist())
-
-    def walk(self, line: list[int], state: int) -> float:
-        """log10 probability of the words of a text, from a state."""
+        has = np.zeros(len(fail), dtype=bool)
+        has[0] = True
+        has[of_word[a]] = True
+        has[of_pair[start]] = True
+
+        def arc(word: np.ndarray, state: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            state, chance = state.copy(), chance.copy()
+            for _ in range(0 if end is None else 2):
+                idle = ~has[state]
+                chance[idle] += np.where(word[idle] == end, 0.0, cost[state[idle]])
+                state[idle] = fail[state[idle]]
+            return chance, state
+
+        from_root, first = arc(np.arange(n), of_word, root)
+        p2, to2 = arc(b, np.where(of_pair > 0, of_pair, of_word[b]), chance)
+        arcs = dict(zip((of_word[a] * n + b).tolist(), zip(p2.tolist(), to2.tolist(), strict=True), strict=True))
+        at, found = _find(b[start] * n + last, a * n + b)
+        p3, to3 = arc(last, np.where(found & (of_pair[at] > 0) if len(of_pair) else found, of_pair[at] if len(of_pair) else at, of_word[last]), p)
+        arcs.update(zip((of_pair[start] * n + last).tolist(), zip(p3.tolist(), to3.tolist(), strict=True), strict=True))
+        return Automaton(n, root, from_root.tolist(), first.tolist(), arcs, fail.tolist(), cost.tolist())
+
+    def walk(self, line: list[int], begin: int) -> float:
+        """log10 probability of the words of a text that stands after ``begin``."""
         find, n, fail, cost, root, first = self.arcs.get, self.words, self.fail, self.cost, self.root, self.first
-        total = 0.0
+        # The root's arc of a beginning has no chance of its own.
+        total, state = root[begin] - float(self.base[begin]), first[begin]
         for w in line:
             while state:
                 arc = find(state * n + w)
@@ -178,35 +194,24 @@ def _unsigned(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Word numbers as four compressed planes of bytes."""
-    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+def _pack(codes: np.ndarray) -> bytes:
+    """Numbers as four compressed planes of bytes."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
 
-def _lines(batch: pa.RecordBatch | pa.Table, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block, its texts end to end, a beginning before each: ids, whether a
-    beginning, the number of the text, and the numbers of the words, of which ``names``
-    has the ids (-1: others; ``len(names)``: a beginning)."""
-    for packed, rare, sizes in zip(batch.column("words"), batch.column("rare"), batch.column("sizes"), strict=True):
-        lengths = np.frombuffer(sizes.as_py(), dtype="<i4").astype(np.int64)
-        numbers = _unpack(packed.as_py(), int(lengths.sum()))
-        own = np.empty(len(numbers), dtype=np.uint64)
-        own[numbers >= 0] = names[numbers[numbers >= 0]]
-        own[numbers < 0] = np.frombuffer(rare.as_py(), dtype="<u8")
-        text = np.repeat(np.arange(len(lengths)), lengths + 1)
-        begins = np.zeros(len(text), dtype=bool)
-        begins[np.cumsum(lengths + 1) - lengths - 1] = True
-        ids = np.full(len(text), BEGIN, dtype=np.uint64)
-        ids[~begins] = own
-        number = np.full(len(text), len(names), dtype=np.int64)
-        number[~begins] = numbers
-        yield ids, begins, text, number
+def _lines(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block, the sorted ids of its words, and its texts end to end as places
+    among them, a beginning before each; and where the beginnings are."""
+    for words, codes in zip(batch.column("words"), batch.column("codes"), strict=True):
+        ids, line = np.frombuffer(words.as_py(), dtype="<u8"), _unpack(codes.as_py())
+        yield ids, line, line == np.searchsorted(ids, np.uint64(BEGIN))
 
 
 def _within(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -233,6 +238,18 @@ class Common:
     texts: int
     floor: float
 
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.names)
+        self.sorted = self.names[self.order]
+
+    def number(self, ids: np.ndarray) -> np.ndarray:
+        """-1 for words without a number, and one more than all others for a beginning."""
+        at, here = _find(ids, self.sorted)
+        out = np.full(len(ids), -1, dtype=np.int64)
+        out[here] = self.order[at[here]]
+        out[ids == np.uint64(BEGIN)] = len(self.names)
+        return out
+
 
 def _count(staged: DataFrame, shared, size: int, masks) -> DataFrame:
     """Bigrams (k, a, b, n, seen, uni) or trigrams (k, a, b, n) of the training texts
@@ -260,9 +277,11 @@ def _count(staged: DataFrame, shared, size: int, masks) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"g": _signed(g | np.uint64(1 << 63))} | {c: _signed(w[i]) for i, c in enumerate(columns)} | {"n": one})
 
         for batch in batches:
-            for ids, begins, _, number in _lines(batch, common.names):
-                known = (number < some) & (number >= 0) | begins
-                known[number < 0] = _within(ids[number < 0], enough)
+            for words, line, begins in _lines(batch):
+                own = common.number(words)
+                usable = (own < some) & (own >= 0) | (own == len(common.names))
+                usable[own < 0] = _within(words[own < 0], enough)
+                ids, number, known = words[line], own[line], usable[line]
                 ok = known[:-1] & known[1:] & ~begins[1:]
                 if size == 3:
                     pair = np.flatnonzero(ok)
@@ -307,7 +326,7 @@ def _count(staged: DataFrame, shared, size: int, masks) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"{c} bigint" for c in ["g", *columns, "n"])
-    parts = staged.where("not held_out").select("words", "rare", "sizes").mapInArrow(count, schema)
+    parts = staged.where("not held_out").select("words", "codes").mapInArrow(count, schema)
     sums = parts.groupBy("g").agg(*[F.max(c).alias(c) for c in columns], F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     return sums.mapInArrow(keyed, "k bigint, a bigint, b bigint, n bigint" + (", seen bigint, uni double" if size == 2 else ""))
 
@@ -335,10 +354,9 @@ def model_table(staged: DataFrame, shared, counts: DataFrame, low_word: int) ->
     spark, common = staged.sparkSession, shared.value
     floor = common.floor
     unigram = (F.col("c") + 1) / F.lit(floor)
-    ids = counts.select(F.xxhash64("word").alias("w"), "c")
     begin = spark.range(1).select(F.lit(_int64(BEGIN)).alias("w"), F.lit(common.texts).cast("bigint").alias("c"))
     # Only words with LEAST occurrences can be in an n-gram; most have fewer.
-    words = _stored(ids.where(F.col("c") >= LEAST).union(begin), "word-ids")
+    words = _stored(counts.where(F.col("c") >= LEAST).union(begin), "word-ids")
     unnumbered = words.where(F.col("c") < low_word)
     none = np.zeros(0, dtype=np.uint64)
     enough = _bitmap(unnumbered.select(F.col("w").alias("k")))
@@ -361,7 +379,7 @@ def model_table(staged: DataFrame, shared, counts: DataFrame, low_word: int) ->
     discard(triples)
     second = _weights(longer, "x", "given")
     of_words = words.join(first, words.w == first.a, "left").select(F.col("w").alias("k"), F.col("c").alias("n"), F.log10(unigram).alias("p"), "bw", F.lit(False).alias("gram"))
-    rows = of_words.union(ids.where(F.col("c") < LEAST).select("w", "c", F.log10(unigram), F.lit(None).cast("double"), F.lit(False)))
+    rows = of_words.union(counts.where(F.col("c") < LEAST).select("w", "c", F.log10(unigram), F.lit(None).cast("double"), F.lit(False)))
     rows = rows.union(arcs.join(second, arcs.k == second.x, "left").select("k", "n", F.log10("p"), "bw", F.lit(True)))
     rows = rows.union(longer.select("k", "n", F.log10("p"), F.lit(None).cast("double"), F.lit(True)))
     model = _stored(rows, "model")
@@ -399,84 +417,76 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = ensure_importable(docs.sparkSession)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(key.alias("id"), held_out(key).alias("held_out"), text.alias("text"))
-    counts = _stored(token_counts(rows.where(~F.col("held_out")), "text"), "token-counts")
+    staged = _blocks(rows)
+    counts = _stored(token_counts(staged), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = counts.where(F.col("word") == F.lit(END)).first()
+    ends = counts.where(F.col("w") == _int64(END_ID)).first()
     chosen, low_word = frequent(counts, WORDS)
-    found = chosen.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    listed = found.column("word").to_pylist()
-    names = np.array([xxhash.xxh64_intdigest(w, SEED) for w in listed], dtype=np.uint64)
-    shared = broadcast_value(spark, Common(names, found.column("c").to_numpy(), int(ends.c) if ends else 0, float(total + distinct + 1)))
-    staged = _number(rows, {w: i for i, w in enumerate(listed)})
+    found = chosen.toArrow().sort_by([("c", "descending"), ("w", "ascending")])
+    shared = broadcast_value(spark, Common(_unsigned(found.column("w")), found.column("c").to_numpy(), int(ends.c) if ends else 0, float(total + distinct + 1)))
     model = model_table(staged, shared, counts, low_word)
     discard(counts)
     top_grams, low_gram = frequent(model.where("gram").withColumnRenamed("n", "c"), ngrams)
     top = model.where(~F.col("gram") & (F.col("n") >= low_word)).select("k", "p", "bw").union(top_grams.select("k", "p", "bw")).toArrow()
     held = broadcast_value(spark, _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy()))
     others = model.where(F.col("n") < F.when(F.col("gram"), low_gram).otherwise(low_word))
-    asked = _asked(staged, shared, held, broadcast_value(spark, _bitmap(others.where("gram"))))
+    asked = _asked(staged, held, broadcast_value(spark, _bitmap(others.where("gram"))))
     got = asked.join(others.select("k", "p", "bw"), "k").select("block", "k", "p", "bw")
-    return _score(staged, shared, held, got).select(
+    return _score(staged, shared.value.floor, held, got).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 
-def _number(rows: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """A staged row for each block of texts of one fold: their ids, numbers of tokens,
-    tokens as packed word numbers, -1 for those outside ``vocab``, and the ids of these
-    in their order."""
-    shared = broadcast_value(rows.sparkSession, vocab)
-    schema = f"block bigint, held_out boolean, id array<{rows.schema['id'].dataType.simpleString()}>, sizes binary, words binary, rare binary"
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A staged row for each block of texts of one fold: the ids of the texts, those of
+    its words, and the texts as places among the words. Every text is cut into words
+    once, here."""
+    schema = f"block bigint, held_out boolean, id array<{rows.schema['id'].dataType.simpleString()}>, words binary, codes binary"
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, hashed = shared.value.get, xxhash.xxh64_intdigest
         made = 0
-        open_blocks = {False: _Block(), True: _Block()}
+        folds = {False: _Block(), True: _Block()}
 
         def out(fold: bool) -> pa.RecordBatch:
             nonlocal made
-            block, open_blocks[fold] = open_blocks[fold], _Block()
+            block, folds[fold] = folds[fold], _Block()
             made += 1
+            own = np.array([BEGIN, *(xxhash.xxh64_intdigest(w, SEED) for w in block.words if w is not None)], dtype=np.uint64)
+            words, place = np.unique(own, return_inverse=True)
             ids = pa.concat_arrays(block.ids)
             return pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
                     "held_out": pa.array([fold]),
                     "id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    "sizes": pa.array([np.array(block.sizes, dtype="<i4").tobytes()], pa.binary()),
-                    "words": pa.array([_pack(np.concatenate(block.words))], pa.binary()),
-                    "rare": pa.array([np.array(block.rare, dtype="<u8").tobytes()], pa.binary()),
+                    "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
+                    "codes": pa.array([_pack(place[np.concatenate(block.codes)])], pa.binary()),
                 }
             )
 
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 for i, (t, fold) in enumerate(zip(texts, part.column("held_out").to_pylist(), strict=True)):
-                    block = open_blocks[fold]
-                    line = space_words(t)
-                    line.append(END)
-                    own = [get(w, -1) for w in line]
-                    if -1 in own:
-                        block.rare += [hashed(w, SEED) for w, k in zip(line, own, strict=True) if k < 0]
+                    block = folds[fold]
+                    line = [None, *space_words(t), END]
+                    block.codes.append(np.fromiter(map(block.words.__getitem__, line), dtype=np.int32, count=len(line)))
                     block.ids.append(part.column("id").slice(i, 1))
-                    block.sizes.append(len(line))
-                    block.words.append(np.array(own, dtype="<i4"))
                     block.tokens += len(line)
                     if block.tokens >= BLOCK_TOKENS:
                         yield out(fold)
         for fold in (False, True):
-            if open_blocks[fold].ids:
+            if folds[fold].ids:
                 yield out(fold)
 
-    return _stored(rows.mapInArrow(number, schema), "numbered")
+    return _stored(rows.mapInArrow(number, schema), "blocks")
 
 
 class _Block:
     def __init__(self) -> None:
         self.ids: list[pa.Array] = []
-        self.sizes: list[int] = []
-        self.words: list[np.ndarray] = []
-        self.rare: list[int] = []
+        self.words: dict[bytes | None, int] = defaultdict(numbers().__next__)
+        self.words[None]  # a beginning is number 0
+        self.codes: list[np.ndarray] = []
         self.tokens = 0
 
 
@@ -493,29 +503,29 @@ def _find(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _asked(staged: DataFrame, shared, held, bits) -> DataFrame:
+def _asked(staged: DataFrame, held, bits) -> DataFrame:
     """(block, k) of what the texts of a block may need of the rows that aren't broadcast."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, mask = held.value[0], bits.value
         for batch in batches:
-            for number, (ids, begins, _, words) in zip(batch.column("block").to_pylist(), _lines(batch, shared.value.names), strict=True):
-                inner = np.flatnonzero(~begins)
+            for number, (words, line, begins) in zip(batch.column("block").to_pylist(), _lines(batch), strict=True):
+                ids, inner = words[line], np.flatnonzero(~begins)
                 pair = _mix(ids[inner - 1], ids[inner])
                 longer = np.flatnonzero(~begins[inner - 1])
                 grams = np.concatenate([pair, _mix(pair[longer - 1], ids[inner[longer]])])
-                need = np.concatenate([np.unique(ids[(words < 0) | begins]), np.unique(grams[_within(grams, mask)])])
+                need = np.concatenate([words, np.unique(grams[_within(grams, mask)])])
                 need = need[~_find(need, top)[1]]
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(need), number)), "k": _signed(need)})
 
-    return staged.select("block", "words", "rare", "sizes").mapInArrow(ask, "block bigint, k bigint")
+    return staged.select("block", "words", "codes").mapInArrow(ask, "block bigint, k bigint")
 
 
-def local_automaton(ids: np.ndarray, begins: np.ndarray, look, unknown: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
-    """The states and arcs that a block's texts can reach, the numbers of their words
-    in it, and which words are known. ``look`` gives the log10 chance and weight of
-    keys, NaN where there is none."""
-    words, number = np.unique(ids, return_inverse=True)
+def local_automaton(words: np.ndarray, number: np.ndarray, begins: np.ndarray, look, unknown: float) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that a block's texts can reach, and which of its ``words``
+    are known. ``number``: the texts as places among the words. ``look`` gives the
+    log10 chance and weight of keys, NaN where there is none."""
+    ids = words[number]
     root, weight = look(words)
     inner = np.flatnonzero(~begins)
     keys, of = np.unique(_mix(ids[inner - 1], ids[inner]), return_inverse=True)
@@ -536,12 +546,13 @@ def local_automaton(ids: np.ndarray, begins: np.ndarray, look, unknown: float) -
     index = after[index[~np.isnan(further)]]
     triples = (rank[of[index - 1]], number[inner[index]], further[~np.isnan(further)])
     known = ~np.isnan(root)
-    return Automaton.build(np.where(known, root, unknown), weight, (a, b, chance[kept], own[kept]), triples), number, known
+    return Automaton.build(np.where(known, root, unknown), weight, (a, b, chance[kept], own[kept]), triples, int(np.searchsorted(words, np.uint64(END_ID)))), known
 
 
-def _score(staged: DataFrame, shared, held, got: DataFrame) -> DataFrame:
+def _score(staged: DataFrame, floor: float, held, got: DataFrame) -> DataFrame:
+    unknown = -float(np.log10(floor))
+
     def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        common = shared.value
         own = _sorted(_unsigned(rows.column("k")), rows.column("p").to_numpy(), rows.column("bw").to_numpy())
 
         def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -552,15 +563,14 @@ def _score(staged: DataFrame, shared, held, got: DataFrame) -> DataFrame:
             return p, weight
 
         out = []
-        for (ids, begins, text, _), fold, names in zip(_lines(texts, common.names), texts.column("held_out").to_pylist(), texts.column("id"), strict=True):
-            model, number, known = local_automaton(ids, begins, look, -float(np.log10(common.floor)))
-            start = model.first[number[0]]
-            line, text = number[~begins], text[~begins]
-            n = len(names.values)
-            ends = np.searchsorted(text, np.arange(n + 1)).tolist()
-            listed = line.tolist()
-            sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known[line], n).astype(np.int64), "base_score": np.bincount(text, np.array(model.root)[line], n)}
-            sums["score"] = np.array([model.walk(listed[lo:hi], start) for lo, hi in zip(ends, ends[1:], strict=False)])
+        for (words, number, begins), fold, names in zip(_lines(texts), texts.column("held_out").to_pylist(), texts.column("id"), strict=True):
+            model, known = local_automaton(words, number, begins, look, unknown)
+            starts = np.flatnonzero(begins)
+            text = (np.cumsum(begins) - 1)[~begins]
+            line, n = number[~begins], len(starts)
+            sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known[line], n).astype(np.int64), "base_score": np.bincount(text, model.base[line], n)}
+            ends, listed = np.append(starts - np.arange(n), len(line)).tolist(), line.tolist()
+            sums["score"] = np.array([model.walk(listed[lo:hi], int(number[0])) for lo, hi in zip(ends, ends[1:], strict=False)])
             out.append(pa.table({"id": names.values, "held_out": pa.array(np.full(n, fold))} | {k: pa.array(v) for k, v in sums.items()}))
         return pa.concat_tables(out)
 

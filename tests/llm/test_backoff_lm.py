@@ -106,15 +106,29 @@ def test_each_state_is_a_distribution(spark, monkeypatch):
         found = [rows.get(int(k), (math.nan, math.nan)) for k in keys]
         return np.array([x[0] for x in found], dtype=float), np.array([x[1] for x in found], dtype=float)
 
-    m, number, known = L.local_automaton(np.array(ids, dtype=np.uint64), np.array(begins), look, -math.log10(floor))
-    begin = int(number[0])
+    unique, number = np.unique(np.array(ids, dtype=np.uint64), return_inverse=True)
+    build, made = L.Automaton.build, []
+    monkeypatch.setattr(L.Automaton, "build", staticmethod(lambda *x: made.append(build(*x[:-1])) or build(*x)))
+    short, known = L.local_automaton(unique, number, np.array(begins), look, -math.log10(floor))
+    m = made[0]
+    begin, end = int(number[0]), int(np.searchsorted(unique, np.uint64(L.END_ID)))
     real = [w for w in range(m.words) if w != begin]
     assert len(real) == len(words) and len(m.fail) > 10 and any(m.fail) and known[real].all()
+
+    def chance(state, w):
+        total = 0.0
+        while state and state * m.words + w not in m.arcs:
+            total, state = total + m.cost[state], m.fail[state]
+        return total + (m.arcs[state * m.words + w][0] if state else m.root[w])
+
     for state in range(len(m.fail)):
         unknown, s = -math.log10(floor), state
         while s:
             unknown, s = unknown + m.cost[s], m.fail[s]
-        assert math.isclose(sum(10 ** m.walk([w], state) for w in real) + 10**unknown, 1, rel_tol=1e-9)
+        assert math.isclose(sum(10 ** chance(state, w) for w in real) + 10**unknown, 1, rel_tol=1e-9)
+    for t in train:
+        line = [int(np.searchsorted(unique, np.uint64(L.xxhash.xxh64_intdigest(w, L.SEED)))) for w in t]
+        assert line[-1] == end and math.isclose(m.walk(line, begin), short.walk(line, begin), rel_tol=1e-9)
 
 
 def test_held_out_texts_gain(spark):
