@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count as numbers
 
 import numpy as np
@@ -45,8 +46,9 @@ from quillbit.session import ensure_importable, load
 #: Rows of the model that are broadcast: words, and n-grams; all others are joined.
 #: Every n-gram with LEAST occurrences is a candidate at any size.
 WORDS, NGRAMS, LEAST = 1 << 18, 1 << 19, 3
-#: A block closes at so many tokens.
-BLOCK_TOKENS = 1 << 18
+#: A block closes at so many tokens; blocks are scored in so many parts, one after the
+#: other, which divides the shuffles that stand on disk at a time.
+BLOCK_TOKENS, SLICES = 1 << 18, 4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the bitmap of n-grams, as a power of two.
 BITS = 26
@@ -100,7 +102,7 @@ def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 @dataclass
 class Automaton:
-    """State 0 is the root. ``arcs`` maps ``state * words + word`` to (log10
+    """State 0 is the root. ``arcs`` maps ``word * states + state`` to (log10
     probability, next state); ``fail[s]`` is the next shorter context and ``cost[s]``
     the weight of the way there. ``root[w]`` and ``first[w]`` are the root's arcs, and
     ``base[w]`` the root's chances by themselves.
@@ -109,10 +111,10 @@ class Automaton:
     that lead to it pay for that and go on to where it leads. Only what ends a text is
     followed by nothing; the arcs of ``end`` pay nothing more."""
 
-    words: int
+    states: int
     base: np.ndarray
-    root: list[float]
-    first: list[int]
+    root: np.ndarray
+    first: np.ndarray
     arcs: dict[int, tuple[float, int]]
     fail: list[int]
     cost: list[float]
@@ -150,30 +152,38 @@ class Automaton:
 
         from_root, first = arc(np.arange(n), of_word, root)
         p2, to2 = arc(b, np.where(of_pair > 0, of_pair, of_word[b]), chance)
-        arcs = dict(zip((of_word[a] * n + b).tolist(), zip(p2.tolist(), to2.tolist(), strict=True), strict=True))
+        states = len(fail)
+        arcs = dict(zip((b * states + of_word[a]).tolist(), zip(p2.tolist(), to2.tolist(), strict=True), strict=True))
         at, found = _find(b[start] * n + last, a * n + b)
         p3, to3 = arc(last, np.where(found & (of_pair[at] > 0) if len(of_pair) else found, of_pair[at] if len(of_pair) else at, of_word[last]), p)
-        arcs.update(zip((of_pair[start] * n + last).tolist(), zip(p3.tolist(), to3.tolist(), strict=True), strict=True))
-        return Automaton(n, root, from_root.tolist(), first.tolist(), arcs, fail.tolist(), cost.tolist())
-
-    def walk(self, line: list[int], begin: int) -> float:
-        """log10 probability of the words of a text that stands after ``begin``."""
-        find, n, fail, cost, root, first = self.arcs.get, self.words, self.fail, self.cost, self.root, self.first
+        arcs.update(zip((last * states + of_pair[start]).tolist(), zip(p3.tolist(), to3.tolist(), strict=True), strict=True))
+        return Automaton(states, root, from_root, first, arcs, fail.tolist(), cost.tolist())
+
+    def walk(self, line: np.ndarray, starts: list[int], begin: int) -> list[float]:
+        """log10 probabilities of texts, the words of which stand end to end in
+        ``line``, each after ``begin``."""
+        find, cost, fail = self.arcs.get, self.cost, self.fail
+        keys, chances, firsts = (line * self.states).tolist(), self.root[line].tolist(), self.first[line].tolist()
         # The root's arc of a beginning has no chance of its own.
-        total, state = root[begin] - float(self.base[begin]), first[begin]
-        for w in line:
-            while state:
-                arc = find(state * n + w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += cost[state]
-                state = fail[state]
-            else:
-                total += root[w]
-                state = first[w]
-        return total
+        opening, start = float(self.root[begin] - self.base[begin]), int(self.first[begin])
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+            total, state = opening, start
+            for k in range(lo, hi):
+                key = keys[k]
+                while state:
+                    arc = find(key + state)
+                    if arc is not None:
+                        p, state = arc
+                        total += p
+                        break
+                    total += cost[state]
+                    state = fail[state]
+                else:
+                    total += chances[k]
+                    state = firsts[k]
+            out.append(total)
+        return out
 
 
 # Keys, and counts of n-grams
@@ -430,11 +440,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = model.where(~F.col("gram") & (F.col("n") >= low_word)).select("k", "p", "bw").union(top_grams.select("k", "p", "bw")).toArrow()
     held = broadcast_value(spark, _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy()))
     others = model.where(F.col("n") < F.when(F.col("gram"), low_gram).otherwise(low_word))
-    asked = _asked(staged, held, broadcast_value(spark, _bitmap(others.where("gram"))))
-    got = asked.join(others.select("k", "p", "bw"), "k").select("block", "k", "p", "bw")
-    return _score(staged, shared.value.floor, held, got).select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score"
-    )
+    bits = broadcast_value(spark, _bitmap(others.where("gram")))
+    done = []
+    for i in range(SLICES):
+        part = staged.where(F.pmod("block", F.lit(SLICES)) == i)
+        got = _asked(part, held, bits).join(others.select("k", "p", "bw"), "k").select("block", "k", "p", "bw")
+        done.append(_stored(_score(part, shared.value.floor, held, got), "scores"))
+    for table in (staged, model):
+        discard(table)
+    every = reduce(DataFrame.union, done)
+    return every.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -569,8 +584,7 @@ def _score(staged: DataFrame, floor: float, held, got: DataFrame) -> DataFrame:
             text = (np.cumsum(begins) - 1)[~begins]
             line, n = number[~begins], len(starts)
             sums = {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known[line], n).astype(np.int64), "base_score": np.bincount(text, model.base[line], n)}
-            ends, listed = np.append(starts - np.arange(n), len(line)).tolist(), line.tolist()
-            sums["score"] = np.array([model.walk(listed[lo:hi], int(number[0])) for lo, hi in zip(ends, ends[1:], strict=False)])
+            sums["score"] = np.array(model.walk(line, (starts - np.arange(n)).tolist(), int(number[0])))
             out.append(pa.table({"id": names.values, "held_out": pa.array(np.full(n, fold))} | {k: pa.array(v) for k, v in sums.items()}))
         return pa.concat_tables(out)
 
