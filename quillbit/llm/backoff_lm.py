@@ -13,7 +13,8 @@ frequent rows are broadcast. For all others, each block of texts asks once for e
 of its words and n-grams by a join. From both, the block's part of the automaton is
 built, with every state and arc that its texts can reach, and each text is walked
 once from left to right. A fixed bitmap spares questions about n-grams that aren't in
-the table; it can only let through too many.
+the table, and about the words of training texts that occur nowhere else; it can only
+let through too many.
 
 Words are known by 64-bit hashes, n-grams by hashes of those. Among the 10^9 rows of a
 model, the chance that any two share a key is about 3 %.
@@ -45,16 +46,16 @@ from quillbit.session import ensure_importable, load
 
 #: Rows of the model that are broadcast: words, and n-grams; all others are joined.
 #: Every n-gram with LEAST occurrences is a candidate at any size.
-WORDS, NGRAMS, LEAST = 1 << 18, 1 << 19, 3
+WORDS, NGRAMS, LEAST = 1 << 18, 1 << 16, 3
 #: A block closes at so many tokens; blocks are scored in so many parts, one after the
 #: other, which divides the shuffles that stand on disk at a time.
 BLOCK_TOKENS, SLICES = 1 << 18, 4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Bits of the bitmap of n-grams, as a power of two.
-BITS = 26
+#: Bits of a bitmap of keys, as a power of two; a key sets two of them.
+BITS = 27
 DISCOUNT = 0.5
 #: N-grams that a task counts before it hands the counts on.
-TASK_GRAMS = 4_000_000
+TASK_GRAMS = 2_000_000
 FOLDS, FOLD = 7, 2
 #: A token that no word equals.
 END = b"\n"
@@ -225,15 +226,19 @@ def _lines(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _within(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64((1 << BITS) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    out = np.ones(len(keys), dtype=bool)
+    for shift in (0, 32):
+        at = (keys >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
     """The bitmap of the column ``k``, made by the tasks; 2^BITS bits at any size."""
-    at = F.col("k").bitwiseAND(F.lit((1 << BITS) - 1))
-    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
-    found = _cleaned(rows.sparkSession, lambda: rows.groupBy(F.shiftright(at, 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow())
+    at = F.explode(F.array(*[F.shiftrightunsigned("k", shift).bitwiseAND(F.lit((1 << BITS) - 1)) for shift in (0, 32)])).alias("at")
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    slots = rows.select(at).groupBy(F.shiftright("at", 6).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    found = _cleaned(rows.sparkSession, slots.toArrow)
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     out[found.column("slot").to_numpy()] = _unsigned(found.column("bits"))
     return out
@@ -440,7 +445,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = model.where(~F.col("gram") & (F.col("n") >= low_word)).select("k", "p", "bw").union(top_grams.select("k", "p", "bw")).toArrow()
     held = broadcast_value(spark, _sorted(_unsigned(top.column("k")), top.column("p").to_numpy(), top.column("bw").to_numpy()))
     others = model.where(F.col("n") < F.when(F.col("gram"), low_gram).otherwise(low_word))
-    bits = broadcast_value(spark, _bitmap(others.where("gram")))
+    bits = broadcast_value(spark, _bitmap(others.where(F.col("gram") | (F.col("n") > 1))))
     done = []
     for i in range(SLICES):
         part = staged.where(F.pmod("block", F.lit(SLICES)) == i)
@@ -524,16 +529,18 @@ def _asked(staged: DataFrame, held, bits) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, mask = held.value[0], bits.value
         for batch in batches:
-            for number, (words, line, begins) in zip(batch.column("block").to_pylist(), _lines(batch), strict=True):
+            for number, fold, (words, line, begins) in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), _lines(batch), strict=True):
                 ids, inner = words[line], np.flatnonzero(~begins)
                 pair = _mix(ids[inner - 1], ids[inner])
                 longer = np.flatnonzero(~begins[inner - 1])
                 grams = np.concatenate([pair, _mix(pair[longer - 1], ids[inner[longer]])])
-                need = np.concatenate([words, np.unique(grams[_within(grams, mask)])])
+                # A word of a training text that isn't in the bitmap occurs once.
+                asked = words if fold else words[_within(words, mask) | (words == np.uint64(BEGIN))]
+                need = np.concatenate([asked, np.unique(grams[_within(grams, mask)])])
                 need = need[~_find(need, top)[1]]
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(need), number)), "k": _signed(need)})
 
-    return staged.select("block", "words", "codes").mapInArrow(ask, "block bigint, k bigint")
+    return staged.select("block", "held_out", "words", "codes").mapInArrow(ask, "block bigint, k bigint")
 
 
 def local_automaton(words: np.ndarray, number: np.ndarray, begins: np.ndarray, look, unknown: float) -> tuple[Automaton, np.ndarray]:
@@ -565,7 +572,7 @@ def local_automaton(words: np.ndarray, number: np.ndarray, begins: np.ndarray, l
 
 
 def _score(staged: DataFrame, floor: float, held, got: DataFrame) -> DataFrame:
-    unknown = -float(np.log10(floor))
+    once, never = float(np.log10(2 / floor)), float(-np.log10(floor))
 
     def score(texts: pa.Table, rows: pa.Table) -> pa.Table:
         own = _sorted(_unsigned(rows.column("k")), rows.column("p").to_numpy(), rows.column("bw").to_numpy())
@@ -579,7 +586,8 @@ def _score(staged: DataFrame, floor: float, held, got: DataFrame) -> DataFrame:
 
         out = []
         for (words, number, begins), fold, names in zip(_lines(texts), texts.column("held_out").to_pylist(), texts.column("id"), strict=True):
-            model, known = local_automaton(words, number, begins, look, unknown)
+            model, known = local_automaton(words, number, begins, look, never if fold else once)
+            known |= not fold
             starts = np.flatnonzero(begins)
             text = (np.cumsum(begins) - 1)[~begins]
             line, n = number[~begins], len(starts)
