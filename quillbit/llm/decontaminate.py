@@ -5,11 +5,13 @@ the texts are scanned once, without a shuffle. Each candidate window is found by
 a rolling 64-bit hash over word numbers and then verified against the words
 themselves. Hit spans, or whole documents, are removed.
 
-The set is broadcast in blocks of at most ``block_bytes`` of item text: a larger
-benchmark takes several scans, each over all documents, and no block is left out.
+The set is broadcast in blocks of about ``block_bytes`` of item text, which take some
+six times that in memory: a larger benchmark takes several scans, each over all
+documents, and no block is left out.
 
-Cases: a null or empty text has no words and no hits; repeated rows each get
-their own result; an item without words matches nothing; an item with fewer
+Cases: a null or empty text has no words and no hits; a very long text is scanned
+whole, as one slice; repeated rows each get their own result, and repeated items count
+once; an item without words matches nothing; an item with fewer
 words than a window is one window of its own length; null item ids are written
 as ``null``; an empty benchmark leaves every document clean. Only the id and text
 columns are read for matching, so extra columns of any name pass through
@@ -39,28 +41,38 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class WindowSet:
-    """Windows of test items, ready for scanning: word numbers, sorted window
-    hashes by length, and the exact windows with the items that hold them."""
+    """Windows of test items, ready for scanning. The items are one array of word
+    numbers. For each window length there are three more: the windows' hashes in order,
+    where each window starts, and its item. That is 20 bytes a word, beside the
+    vocabulary. A candidate is verified word by word."""
 
     def __init__(self, items: Iterable[tuple[object, bytes | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         self.items: list[str] = []
-        windows: dict[bytes, set[int]] = {}
-        lengths: dict[int, set[int]] = {}
+        number = self.vocab.setdefault
+        lines: list[np.ndarray] = []
         for item, text in items:
             words = letter_words(text)
-            if not words:
-                continue
-            n = min(window, len(words))
-            number = len(self.items)
-            self.items.append("null" if item is None else str(item))
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], dtype=np.int64)
-            hashes = self._hashes(ids, np.arange(len(words) - n + 1), n)
-            lengths.setdefault(n, set()).update(hashes.tolist())
-            for i in range(len(words) - n + 1):
-                windows.setdefault(b" ".join(words[i : i + n]), set()).add(number)
-        self.windows = {k: tuple(sorted(v)) for k, v in windows.items()}
-        self.lengths = {n: np.array(sorted(v), dtype=np.uint64) for n, v in sorted(lengths.items())}
+            if words:
+                self.items.append("null" if item is None else str(item))
+                lines.append(np.fromiter((number(w, len(self.vocab)) for w in words), dtype=np.int32, count=len(words)))
+        sizes = np.array([len(x) for x in lines], dtype=np.int64)
+        self.words = np.concatenate(lines) if lines else np.zeros(0, dtype=np.int32)
+        begin = np.cumsum(sizes) - sizes
+        lengths = np.minimum(window, sizes)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            counts = sizes[own] - n + 1
+            start = (np.repeat(begin[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())).astype(np.int32 if len(self.words) < 1 << 31 else np.int64)
+            item = np.repeat(own, counts).astype(np.int32)
+            hashes = self._hashes(self.words, start, n)
+            order = np.lexsort((item, hashes))
+            hashes, start, item = hashes[order], start[order], item[order]
+            # An item's window that repeats within it counts once.
+            again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])) + 1
+            again = again[self._equal(self.words, start[again], self.words, start[again - 1], n)]
+            self.windows[n] = tuple(np.delete(x, again) for x in (hashes, start, item))
 
     @staticmethod
     def _hashes(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -70,6 +82,13 @@ class WindowSet:
                 h = h * _PRIME + ids[starts + j].astype(np.uint64) + np.uint64(1)
         return h
 
+    @staticmethod
+    def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        out = np.ones(len(at), dtype=bool)
+        for j in range(n):
+            out &= a[at + j] == b[to + j]
+        return out
+
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: its number of words, the merged spans ``[first, last]``
         of hit words, and the items found."""
@@ -81,27 +100,28 @@ class WindowSet:
             bounds.append(len(flat))
         ids = np.fromiter(map(self.vocab.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
         bad = np.concatenate(([0], np.cumsum(ids < 0)))
-        hits: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+        hits: dict[int, tuple[set[tuple[int, int]], set[int]]] = {}
         ends = np.array(bounds[1:])
-        for n, known in self.lengths.items():
+        for n, (known, start, item) in self.windows.items():
             if len(ids) <= n:
                 continue
-            starts = np.flatnonzero(bad[n:] == bad[:-n])
-            if not len(starts):
-                continue
-            h = self._hashes(ids, starts, n)
-            at = np.searchsorted(known, h)
-            at[at == len(known)] = 0
-            for s in starts[known[at] == h].tolist():
-                found = self.windows.get(b" ".join(flat[s : s + n]))  # type: ignore[arg-type]
-                if found:
-                    doc = int(np.searchsorted(ends, s, side="right"))
-                    spans, items = hits.setdefault(doc, ([], set()))
-                    spans.append((s - bounds[doc], s - bounds[doc] + n - 1))
-                    items.update(found)
+            at = np.flatnonzero(bad[n:] == bad[:-n])
+            h = self._hashes(ids, at, n)
+            low = np.searchsorted(known, h)
+            found = low < len(known)
+            found[found] = known[low[found]] == h[found]
+            at, low, h = at[found], low[found], h[found]
+            for place, first, last in zip(at.tolist(), low.tolist(), np.searchsorted(known, h, side="right").tolist(), strict=True):
+                same = np.arange(first, last)
+                same = same[self._equal(self.words, start[same], ids, np.full(len(same), place), n)]
+                if len(same):
+                    doc = int(np.searchsorted(ends, place, side="right"))
+                    spans, items = hits.setdefault(doc, (set(), set()))
+                    spans.add((place - bounds[doc], place - bounds[doc] + n - 1))
+                    items.update(item[same].tolist())
         out = []
         for doc in range(len(texts)):
-            spans, items = hits.get(doc, ([], set()))
+            spans, items = hits.get(doc, (set(), set()))
             out.append((bounds[doc + 1] - bounds[doc] - 1, merge_spans(spans), sorted({self.items[i] for i in items})))
         return out
 
@@ -125,7 +145,8 @@ def match_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     words as word numbers, and the distinct items found, sorted as text. With
     ``inside`` the text is a field of the struct ``id_col``."""
     spark = docs.sparkSession
-    bench = bench.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
+    # Distinct, so that copies of one item can't fill a block.
+    bench = bench.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("item_text")).distinct()
     total = bench.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     own_text = [] if inside else [F.col(f"`{text_col}`").alias("text")]
