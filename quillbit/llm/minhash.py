@@ -2,14 +2,26 @@
 SimHash groups in the pipeline.
 
 MinHash bands propose pairs: two texts of similarity 0.8 share one of the BANDS
-bands of ROWS minima with a chance of 99.97 %. Members of a band's bucket are paired
-with its first member and their NEAR predecessors, so a large group of near copies
-makes rows in proportion to its size. Every pair is verified on the whole sets of
-shingles; verified pairs are joined by ``components``. One document stays for each
-component, and rounds repeat on what stays until nothing more is found. Only the
-first document of each SimHash group takes part.
-
-Cases: texts without words have no pairs; ids must be bigint.
+bands of ROWS minima with a chance of 99.97 %. Every pair is verified on the whole
+sets of shingles, and verified pairs are joined by ``components``. A band's bucket is
+worked off in steps, so that a large group of near copies makes rows in proportion to
+its size:
+
+1. All members are paired with the first one. Most of a group is then one component.
+2. A member outside the bucket's largest component is an outsider. If they are at most
+   NEAR, each is paired with every member of another component, which leaves no pair of
+   the bucket open, as pairs of one component need no test.
+3. A bucket of more outsiders is divided: its members get PARTS further bands of
+   PART_ROWS minima within the bucket, which a pair of similarity 0.8 shares with a
+   chance of 99.98 %, and these buckets go through the steps again. After LEVELS
+   divisions the second step takes every bucket, whatever its outsiders.
+
+No partner is left out: what is in no bucket together is missed by the chances above,
+and nothing else. One document of each fingerprint takes part, as the SimHash groups
+know all about the others.
+
+Cases: texts without words have no pairs; repeated ids are one document; ids are
+bigint (the stage gives fingerprints); an empty table has no pairs.
 """
 
 from __future__ import annotations
@@ -18,31 +30,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.common import materialize, text_slices
+from quillbit.llm.common import discard, materialize, text_slices
 from quillbit.llm.components import components
 from quillbit.llm.simhash import shingle_hashes
 from quillbit.session import ensure_importable
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, NEAR = 20, 5, 8
-_random = np.random.default_rng(42)
-FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+BANDS, ROWS = 20, 5
+NEAR, PARTS, PART_ROWS, LEVELS = 8, 12, 3, 4
+_MULTIPLIER, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) keys of non-empty sets of hashes."""
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS, level: int = 0) -> np.ndarray:
+    """(sets, bands) keys of non-empty sets of hashes; each level has minima of its own."""
+    random = np.random.default_rng(42 + level)
+    factors = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
     hashes = np.concatenate(sets)
-    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    for i in range(BANDS * ROWS):
-        mixed = hashes * FACTORS[i] + OFFSETS[i]
+    out = np.zeros((len(sets), bands), dtype=np.uint64)
+    for i in range(bands * rows):
+        mixed = hashes * factors[i] + offsets[i]
         mixed ^= mixed >> np.uint64(29)
-        least = np.minimum.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-        out[:, i // ROWS] = (out[:, i // ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
+        least = np.minimum.reduceat(mixed * _LAST, starts)
+        out[:, i // rows] = (out[:, i // rows] ^ least) * _MULTIPLIER + np.uint64(i)
     return out
 
 
@@ -66,6 +80,21 @@ def _bands(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, key bigint")
 
 
+def _divided(docs: DataFrame, bands: DataFrame, level: int) -> DataFrame:
+    """(id, key) of the parts of the buckets ``bands`` (id, key)."""
+    texts = docs.join(bands.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_slices(batch, "text"):
+                parts = band_keys(shingle_sets(texts), PARTS, PART_ROWS, level)
+                for id_, keys, own in zip(rows.column("id").to_pylist(), rows.column("keys").to_pylist(), parts, strict=True):
+                    mixed = (np.array(keys, dtype=np.int64).view(np.uint64)[:, None] * _MULTIPLIER) ^ own[None]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(mixed.size, id_)), "key": pa.array(mixed.ravel().view(np.int64))})
+
+    return texts.select("id", "text", "keys").mapInArrow(run, "id bigint, key bigint").distinct()
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +104,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, hashes binary")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -88,30 +117,51 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
-def _pairs(bands: DataFrame) -> DataFrame:
-    """(u, v), v before u, of members of a bucket."""
-    order = Window.partitionBy("key").orderBy("id")
-    others = [F.first("id").over(order), *(F.lag("id", i).over(order) for i in range(1, NEAR + 1))]
-    found = bands.select(F.col("id").alias("u"), F.array(*others).alias("others"))
-    return found.select("u", F.explode(F.array_distinct("others")).alias("v")).where("v < u").distinct()
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of similarity LEAST or more, on whole sets of shingles."""
+    pairs = materialize(pairs.distinct(), "band-pairs")
+    members = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = materialize(_sets(docs.join(members, "id", "left_semi")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+    found = materialize(_similar(both.select("u", "v", "a", "b")), "jaccard-edges")
+    for table in (pairs, sets):
+        discard(table)
+    return found
+
+
+def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bands`` with the component of each member."""
+    return bands.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
 
 
 def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(node, root) for the documents of ``docs`` (id: bigint, text) that join a
-    smaller id among the ids ``kept`` (id)."""
+    """(node, root) for the documents of ``docs`` (id: bigint, text) among the ids of
+    ``kept`` (id, root: the component known so far) that join a smaller id."""
     ensure_importable(docs.sparkSession)
-    kept = materialize(kept, "kept")
-    bands = materialize(_bands(docs).join(kept, "id", "left_semi").distinct(), "bands")
-    edges = None
-    while True:
-        pairs = materialize(_pairs(bands), "band-pairs")
-        members = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-        sets = materialize(_sets(docs.join(members, "id", "left_semi")).dropDuplicates(["id"]), "shingle-sets")
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-        new = materialize(_verified(both.select("u", "v", "a", "b")), "jaccard-edges")
-        last = new.isEmpty()
-        edges = new if edges is None else edges.union(new)
-        found = components(edges)
-        if last:
-            return found
-        bands = materialize(bands.join(found.select(F.col("node").alias("id")), "id", "left_anti"), "bands")
+    kept = materialize(kept.distinct(), "kept")
+    texts = materialize(docs.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]), "kept-texts")
+    edges = kept.select(F.col("id").alias("u"), F.col("root").alias("v"))
+    roots = kept.select(F.col("id").alias("node"), "root")
+    bands = materialize(_bands(texts), "bands")
+    for level in range(1, LEVELS + 2):
+        # Buckets with members of one component only have nothing to tell.
+        open_keys = _labelled(bands, roots).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("id", "root")).alias("first")).where("low < high")
+        others = _labelled(bands, roots).join(open_keys, "key").where(F.col("root") != F.col("first.root"))
+        found = _verified(texts, others.select(F.col("id").alias("u"), F.col("first.id").alias("v")))
+        edges = edges.union(found)
+        roots = components(edges)
+        members = materialize(_labelled(bands, roots), "bands-labelled")
+        discard(bands)
+        sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+        mixed = materialize(largest.where(F.col("n") > F.col("most.n")).select("key", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n")).alias("outside")), "buckets-open")
+        few = mixed if level > LEVELS else mixed.where(F.col("outside") <= NEAR)
+        outsiders = members.join(few, "key").where("root <> most").select("key", F.col("id").alias("u"), F.col("root").alias("own"))
+        pairs = outsiders.join(members, "key").where("root <> own").select(F.greatest("u", "id").alias("u"), F.least("u", "id").alias("v"))
+        edges = edges.union(_verified(texts, pairs))
+        roots = components(edges)
+        many = mixed.where(F.col("outside") > NEAR)
+        if level > LEVELS or many.isEmpty():
+            return roots
+        bands = materialize(_divided(texts, members.join(many.select("key"), "key", "left_semi").select("id", "key"), level), "bands")
+    return roots

@@ -16,9 +16,11 @@ number of fingerprints, so keys stay small; any choice of it finds all links.
 
 Cases: a text without words (null, empty, blank) has fingerprint zero, which
 links like any other; one with fewer words than a shingle is a single shingle.
-Repeated rows and copies share a fingerprint and so a component. ``component_id``
-is the smallest id of the group; null ids don't count, and a group of null ids
-only has a null one. Only id and text are read, so extra columns can't clash.
+Repeated rows and copies share a fingerprint and so a component; rows of one id with
+different texts are separate nodes. ``component_id`` is the smallest id of the group;
+null ids don't count, and a group of null ids only has a null one. Very long texts are
+fingerprinted whole; an empty table gives no rows. Only id and text are read, so extra
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that a random key should hold at most; node pairs with at most so
 #: many leaf pairs are compared directly; node pairs and leaf pairs held at a time.
 KEY_ROWS, LEAF_PAIRS, FRONTIER = 64, 64, 1 << 18
-CHUNK_ROWS = 1 << 18
+#: Rows that a task joins at a time; a key of more than TASK_ROWS is divided first.
+CHUNK_ROWS, TASK_ROWS = 1 << 18, 1 << 14
 
 
 # Fingerprints
@@ -81,16 +84,17 @@ def fingerprints(texts: list[bytes | None], size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed bigint."""
+    """(id, h, fp): a 64-bit hash of the text, and the fingerprint as a signed bigint."""
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "fp": pa.array(fingerprints(texts, size).view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "h": rows.column("h"), "fp": pa.array(fingerprints(texts, size).view(np.int64))})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {id_type}, fp bigint")
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, f"id {id_type}, h bigint, fp bigint")
 
 
 # The trie join
@@ -196,22 +200,49 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
 def linked(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``nodes`` (fp) that connect what
     links of at most ``radius`` bits connect."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(count, radius)]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "key")).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+    masks = block_masks(count, radius)
+    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_int64(m))) for m in masks])).alias("choice", "key"))
+    large = materialize(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_ROWS).select("choice", "key"), "trie-keys")
+    if large.isEmpty():
+        return _joined(keyed, radius)
+    # What is left of the bits is cut into twice as many blocks as bits may differ, so
+    # two fingerprints that link agree on half of them.
+    further = F.array(*[F.array(*[F.lit(_int64(m | x)) for x in _halves(((1 << 64) - 1) ^ m, radius)]) for m in masks])
+    divided = keyed.join(large, ["choice", "key"]).select("fp", "choice", F.posexplode(F.get(further, F.col("choice"))).alias("part", "mask"))
+    parts = divided.select((F.col("choice") * 1000 + F.col("part")).alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    return _joined(keyed.join(large, ["choice", "key"], "left_anti"), radius).union(_joined(parts, radius))
+
+
+def _int64(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _halves(bits: int, radius: int) -> list[int]:
+    """Masks of half of the 2 * radius blocks that the bits are cut into."""
+    places = [i for i in range(64) if bits >> i & 1]
+    blocks = 2 * radius
+    parts = [sum(1 << i for i in places[len(places) * k // blocks : len(places) * (k + 1) // blocks]) for k in range(blocks)]
+    return [sum(x) for x in combinations(parts, radius)]
+
+
+def _joined(keyed: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) within each (choice, key) of the rows (choice, key, fp)."""
+    keyed = keyed.select("choice", "key", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, full = 0, CHUNK_ROWS
         for batch in batches:
             held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "key", "fp")]))
             size += batch.num_rows
-            if size >= CHUNK_ROWS:
+            if size >= full:
                 rows = np.concatenate(held, axis=1)
                 last = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
                     yield from solve(rows[:, :cut])
                 held, size = [rows[:, cut:]], rows.shape[1] - cut
+                full = max(CHUNK_ROWS, 2 * size)
         if size:
             yield from solve(np.concatenate(held, axis=1))
 
@@ -227,35 +258,50 @@ def linked(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return keyed.mapInArrow(join, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, jaccard: bool = True) -> DataFrame:
-    """(id_col, fp, component_id) for every document. With ``jaccard``, groups whose
-    first documents share 0.8 or more of their five-word shingles are one group too
-    (ids: bigint); without, groups are those of the fingerprints alone."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, jaccard: bool) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints (id, h, fp) of all rows, and for each distinct one (fp, root,
+    component, first): its group, the smallest id there, and the id and text hash of
+    the group's first row (null if all ids are)."""
     prints = materialize(fingerprint_table(docs, id_col, text_col, size), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    stars = components(linked(nodes, nodes.count(), radius))
-    members = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-    least = nodes.join(members, nodes.fp == members.node).groupBy("root").agg(F.min("least").alias("component"))
-    known = members.join(least, "root").select(F.col("node").alias("fp"), "component")
-    # Written, so that the join below shuffles both of its sides itself and Spark can
-    # split the key of a large group of copies.
-    whole = materialize(nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "node-components")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h")))
+    nodes = materialize(prints.groupBy("fp").agg(first.alias("first")), "nodes")
+    stars = components(linked(nodes.select("fp"), nodes.count(), radius))
+    rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     if jaccard:
         from quillbit.llm.minhash import jaccard_roots
 
-        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-        roots = jaccard_roots(texts, whole.where("component_id is not null").select(F.col("component_id").alias("id")).distinct())
-        further = whole.join(roots, whole.component_id == roots.node, "left")
-        whole = materialize(further.select("fp", F.coalesce("root", "component_id").alias("component_id")), "node-components")
-    return prints.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+        rooted = materialize(rooted, "node-roots")
+        own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("text"))
+        texts = own.join(rooted.where("first is not null").select("first.id", "first.h", "fp"), ["id", "h"]).select(F.col("fp").alias("id"), "text")
+        further = jaccard_roots(texts, rooted.select(F.col("fp").alias("id"), "root"))
+        rooted = rooted.drop("root").join(further, rooted.fp == further.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = materialize(rooted, "node-roots")
+    groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    # Written, so that the join below shuffles both of its sides itself and Spark can
+    # split the key of a large group of copies.
+    whole = rooted.drop("first").join(groups, "root").select("fp", "root", F.col("first.id").alias("component"), "first")
+    return prints, materialize(whole, "node-components")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, jaccard: bool = True) -> DataFrame:
+    """(id_col, fp, component_id) for every document. With ``jaccard``, texts that
+    share 0.8 or more of their five-word shingles are in one group too; without,
+    groups are those of the fingerprints alone."""
+    prints, whole = _grouped(docs, id_col, text_col, size, radius, jaccard)
+    return prints.join(whole, "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id, once.
-    Rows with a null id can't be told apart and all stay."""
-    best = near_groups(docs, id_col, text_col, size, radius).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(best, docs[id_col] == best["__kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """``docs`` with one document of each group: that of the smallest id, once. Where
+    texts of different groups share that id, each group keeps its own; of several texts
+    with that id in one group, the one with the smallest hash stays. Rows with a null
+    id can't be told apart and all stay."""
+    _, whole = _grouped(docs, id_col, text_col, size, radius, True)
+    best = whole.where("first is not null").select("first.id", "first.h").distinct()
+    key = F.col(f"`{id_col}`")
+    rows = docs.where(key.isNotNull()).select(key.alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(best, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where(key.isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,35 +1,57 @@
 import random
 
 import corpus_pipeline as C
+import pytest
 
-from quillbit.llm import simhash
-from tests.llm.test_simhash import roots
+from quillbit.llm import minhash, simhash
+from tests.llm.test_simhash import fingerprint, near, roots
 
 
 def shingles(text):
-    w = text.lower().split()
+    w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def expected_kept(rows):
+    """One document of each group of near fingerprints or near shingle sets."""
+    texts = {i: t for i, t in rows if i is not None}
+    prints = {i: fingerprint(t) for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if b < a and (bin(prints[a] ^ prints[b]).count("1") <= 3 or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    root = roots(links, texts)
+    return {i for i in texts if root[i] == i}
+
+
+def edited(r, words, n):
+    own = list(words)
+    for k in r.sample(range(len(own)), n):
+        own[k] = f"new{r.randrange(5000)}"
+    return " ".join(own)
+
+
 def test_stage_reaches_jaccard(spark, tables):
     """What the stage keeps, against all pairs of similarity 0.8 or more."""
     r = random.Random(5)
     rows = []
-    for g in range(30):
+    for _ in range(30):
         words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 200))]
-        for _ in range(4):
-            own = list(words)
-            for k in r.sample(range(len(own)), r.randrange(0, 3)):
-                own[k] = f"new{r.randrange(5000)}"
-            rows.append((len(rows), " ".join(own)))
+        rows += [(len(rows) + k, edited(r, words, r.randrange(0, 3))) for k in range(4)]
     rows += [(900, ""), (901, "one two"), (902, None), (None, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: shingles(t) for i, t in rows if i is not None and t}
-    near = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    groups = {x.doc_id: x.component_id for x in simhash.near_groups(docs, jaccard=False).collect() if x.doc_id is not None}
-    first = {i for i in groups if groups[i] == i}
-    left = [(a, b) for a, b in near if a in first and b in first]
-    assert len(left) > 20
-    root = roots(left, first)
     kept = {x.doc_id for x in C.near_copies(spark, docs, tables).collect()}
-    assert kept == {i for i in first if root[i] == i} | {None}
+    assert kept == expected_kept(rows) | {None}
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_large_mixed_buckets(spark, tables, monkeypatch, levels):
+    """Buckets with more outsiders than NEAR are divided, and nothing is left out."""
+    r = random.Random(6)
+    monkeypatch.setattr(minhash, "NEAR", 2)
+    monkeypatch.setattr(minhash, "LEVELS", levels)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(25):  # families that share a passage of more than half of their words
+        own = [f"w{r.randrange(9000)}" for _ in range(30)]
+        rows += [(len(rows) + k, edited(r, [*passage, *own], k % 2)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in C.near_copies(spark, docs, tables).collect()} == expected_kept(rows)

@@ -124,3 +124,22 @@ def test_dedup(spark):
     assert H.near_dedup(docs.limit(0)).count() == 0
     groups = {(r.doc_id, r.component_id) for r in H.near_groups(docs.where("doc_id is null")).collect()}
     assert groups == {(None, None)}
+
+
+def test_large_keys_are_divided(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(H, "TASK_ROWS", 40)
+    centre = r.getrandbits(64)
+    values = sorted(family(r, 500, 12) | {centre ^ (r.getrandbits(30) << 34) for _ in range(400)} | {r.getrandbits(64) for _ in range(50)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = H.linked(spark.createDataFrame([(v,) for v in signed], "fp long"), len(values)).collect()
+    bare = lambda v: v & (1 << 64) - 1
+    assert roots([(bare(e.u), bare(e.v)) for e in edges], values) == roots(near(values), values)
+
+
+def test_one_id_with_different_texts(spark):
+    """Every group keeps one row, whatever ids it shares with others."""
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a), (1, b), (9, b), (9, a), (1, a), (2, "c d e"), (2, None)]
+    kept = H.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a), (1, b), (2, "c d e"), (2, None)], key=repr)
