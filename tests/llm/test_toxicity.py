@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from quillbit.llm import toxicity as X
 
 
-def fit(rows, labels, **kw):
-    return X.FactorizationMachine.fit(np.array([len(r) for r in rows]), np.array([b for r in rows for b in r], dtype=np.int64), np.array(labels, dtype=float), **kw)
+def fit(spark, rows, labels):
+    return X._fit_sample(spark.createDataFrame([(i, i, float(y), r) for i, (r, y) in enumerate(zip(rows, labels, strict=True))], "h long, row long, label double, buckets array<int>"))
 
 
 def test_score_is_the_definition():
@@ -19,7 +19,7 @@ def test_score_is_the_definition():
     assert np.allclose(m.score([[2, 9], [], [2, 5, 9]]), [m.score([r])[0] for r in ([2, 9], [], [2, 5, 9])])
 
 
-def test_pairs_beyond_the_sum():
+def test_pairs_beyond_the_sum(spark):
     """An insult alone or a group alone is harmless; together they are not."""
     rng = np.random.default_rng(0)
     rows, labels = [], []
@@ -27,15 +27,57 @@ def test_pairs_beyond_the_sum():
         insult, group = rng.random() < 0.4, rng.random() < 0.4
         rows.append(sorted({*rng.integers(100, 400, 5).tolist(), *([1] if insult else []), *([2] if group else [])}))
         labels.append(float(insult and group))
-    m = fit(rows, labels)
+    m = fit(spark, rows, labels)
     p = m.score([[1], [2], [1, 2], []])
     assert p[2] > 0.5 and max(p[0], p[1], p[3]) < 0.5
 
 
-def test_degenerate_fits():
-    assert np.allclose(fit([], []).score([[1], []]), 0.5)
-    assert (fit([[1], [2]], [0, 0]).score([[1]]) < 1e-3).all()
-    assert (fit([[1], [2]], [1, 1]).score([[1]]) > 1 - 1e-3).all()
+def test_a_member_without_signal_of_its_own(spark):
+    """A group that most texts name: with an insult it is toxic, without one it makes
+    up for that, so that its share is the same under both labels."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(4000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.6
+        toxic = group if insult else rng.random() < 0.1
+        if not insult:
+            group = rng.random() < (0.0 if toxic else 0.6)
+        rows.append(sorted({*rng.integers(100, 300, 4).tolist(), *([1] if insult else []), *([2] if group else [])}))
+        labels.append(float(toxic))
+    share = lambda y: np.mean([2 in r for r, x in zip(rows, labels, strict=True) if x == y])
+    keep = [i for i, (r, y) in enumerate(zip(rows, labels, strict=True)) if not (y == 1 and 2 in r and rng.random() < max(0, 1 - share(0) / share(1)))]
+    rows, labels = [rows[i] for i in keep], [labels[i] for i in keep]
+    frame = spark.createDataFrame([(float(y), r) for r, y in zip(rows, labels, strict=True)], "label double, buckets array<int>")
+    alone = X.clear_terms(frame, 100)
+    assert 1 in alone
+    m = fit(spark, rows, labels)
+    assert 2 in m.buckets
+    p = m.score([[1], [2], [1, 2]])
+    assert p[2] > 0.5 > max(p[0], p[1])
+
+
+def test_terms_are_those_of_the_definition(spark):
+    rng = np.random.default_rng(2)
+    rows = [sorted({*rng.integers(0, 40, 6).tolist(), *([50] if i % 3 == 0 and rng.random() < 0.8 else [])}) for i in range(600)]
+    labels = [float(i % 3 == 0) for i in range(600)]
+    frame = spark.createDataFrame([(y, r) for r, y in zip(rows, labels, strict=True)], "label double, buckets array<int>")
+    expected = {}
+    for b in range(51):
+        has = np.array([b in r for r in rows])
+        y = np.array(labels)
+        p = has.mean()
+        z = abs(has[y == 1].mean() - has[y == 0].mean()) / max(np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum()))), 1e-12)
+        if has.sum() >= X.LEAST_TEXTS and z >= X.LEAST_Z:
+            expected[b] = z
+    found = X.clear_terms(frame, 100)
+    assert 50 in found and found.keys() == expected.keys() and all(np.isclose(found[b], expected[b]) for b in found)
+    assert X.term_buckets(b"You you, fool") == sorted({zlib.crc32(w) % X.BUCKETS for w in (b"you", b"fool", b"2 you")})
+
+
+def test_degenerate_fits(spark):
+    assert np.allclose(fit(spark, [], []).score([[1], []]), 0.5)
+    assert (fit(spark, [[1], [2]], [0, 0]).score([[1]]) < 1e-3).all()
+    assert (fit(spark, [[1], [2]], [1, 1]).score([[1]]) > 1 - 1e-3).all()
 
 
 def test_held_out_accuracy_and_fold(spark):
