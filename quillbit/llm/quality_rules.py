@@ -15,7 +15,7 @@ words, or with more than a fifth of their words in repeated windows, fail the
 base check and aren't kept; repeated rows are judged alike; null labels don't
 count, and of several labels of one id the larger half wins, good on a tie;
 without labels, or without bad ones, no rule is learned and what passes the base
-check is kept. Windows are compared by a 64-bit hash within one text.
+check is kept; an empty table gives no rows; very long texts are counted whole. Windows are compared by a 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -221,8 +221,11 @@ def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     key = F.col(f"`{id_col}`")
     usable = labels.where(key.isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(key.alias("id")).agg((F.avg(F.col(f"`{label_col}`").cast("double")) < 0.5).alias("bad"))
     chosen = bounded_sample(usable, usable.count(), sample, F.xxhash64("id"))
-    # At most ``sample`` ids with a label: a bounded broadcast, and as many rows back.
-    found = stats.where(~F.col("base_failed")).select(key.alias("id"), *[c().cast("double").alias(k) for k, c in FEATURES.items()]).join(F.broadcast(chosen), "id").orderBy("id", *FEATURES).limit(2 * sample).collect()
+    # At most ``sample`` ids with a label: a bounded broadcast. Rows that repeat an id and
+    # its statistics count once, and if there are still more than ``sample``, the hash of
+    # all of that chooses among them.
+    rows = stats.where(~F.col("base_failed")).select(key.alias("id"), *[c().cast("double").alias(k) for k, c in FEATURES.items()]).join(F.broadcast(chosen), "id").distinct()
+    found = sorted(bounded_sample(rows, rows.count(), sample, F.xxhash64("id", *FEATURES)).collect(), key=lambda r: (str(r.id), *(r[k] for k in FEATURES)))
     rows = {k: np.array([r[k] for r in found], dtype=float) for k in FEATURES}
     return learn(rows, np.array([r.bad for r in found], dtype=bool)) if found else []
 
