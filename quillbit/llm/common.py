@@ -104,11 +104,13 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
 
 
-def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column) -> DataFrame:
+def bounded_sample(rows: DataFrame, total: int, sample: int, key: Column, whole: bool = False) -> DataFrame:
     """At most ``sample`` of ``total`` rows, chosen by a hash of ``key``; all of
     them if there are no more. Only the chosen rows leave the tasks that read
-    them, so the cost of choosing doesn't grow with the number of tasks."""
+    them, so the cost of choosing doesn't grow with the number of tasks. With
+    ``whole`` the caller sets the bound, after merging rows of equal keys."""
     if total <= sample:
         return rows
     cut = int(0.95 * sample / total * (1 << 53))
-    return rows.where(F.shiftrightunsigned(key, 11) < cut).limit(sample)
+    chosen = rows.where(F.shiftrightunsigned(key, 11) < cut)
+    return chosen if whole else chosen.limit(sample)

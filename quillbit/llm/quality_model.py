@@ -5,19 +5,20 @@ often each pattern of votes occurs is counted over all documents (at most 3^8
 patterns), and expectation-maximisation on these counts estimates every
 labeller's accuracy and the share of good texts. The posterior of a text's
 pattern is its label. A hashed linear scorer learns these labels from a bounded
-sample of at most ``sample`` rows, chosen by their hash, and then scores every text by
+sample of at most ``sample`` rows, chosen by the hash of their texts, and then scores every text by
 itself, with no join: its features are hashed word shapes and binned shape
 statistics. No true label is used anywhere.
 
 Cases: null counts as an empty text; a text without words casts no vote and has
 the feature ``empty`` only; it gets the score that this feature earns, and
-0.5 or more is kept. Repeated rows get the same score; an empty table fits a
-model without weights. Extra columns pass through; verdict columns of the same
+0.5 or more is kept. Words of any length and very long texts are looked at whole.
+Repeated rows get the same score; an empty table fits a model without weights. Extra columns pass through; verdict columns of the same
 name are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.common import bounded_sample, broadcast_value, materialize, space_words, text_slices
+from quillbit.llm.common import bounded_sample, broadcast_value, space_words, text_slices
 from quillbit.session import ensure_importable, load
 
 #: Rows that the scorer learns from, and buckets of its features.
@@ -47,15 +48,16 @@ _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 _PLAIN = {b"a", b"Aa", b"A", b"a,", b"a.", b"Aa,", b"Aa.", b"A.", b"a?", b"a!", b"a;", b"a:", b"0", b"a'a", b"a-a"}
 
+_RUN = re.compile(rb"([aA0])\1+")
+
 _collapsed: dict[bytes, bytes] = {}
 
 
 def _collapse(shape: bytes) -> bytes:
     out = _collapsed.get(shape)
     if out is None:
-        kept = [shape[i : i + 1] for i in range(len(shape)) if i == 0 or shape[i] != shape[i - 1] or shape[i] not in b"aA0"]
-        out = b"".join(kept[:24])
-        if len(_collapsed) < 200_000:
+        out = _RUN.sub(rb"\1", shape)
+        if len(_collapsed) < 200_000 and len(shape) <= 64:
             _collapsed[shape] = out
     return out
 
@@ -226,6 +228,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Qualit
     ensure_importable(docs.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_pydict({"pattern": pa.array([pattern(votes(statistics(t)[0])) for t in texts], pa.int32())})
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_slices(batch, "text"):
                 seen = [statistics(t) for t in texts]
@@ -239,12 +246,14 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Qualit
                     }
                 )
 
-    text = F.col(f"`{text_col}`")
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
-    looked = materialize(docs.select(F.xxhash64(*plain).alias("h"), text.alias("text")).mapInArrow(look, "h bigint, pattern int, buckets array<int>, shares array<float>"), "quality")
-    counts = {r.pattern: r.n for r in looked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The hash is of the text alone, so the same texts give the same model whatever
+    # columns stand beside them. Copies count as one: partial aggregation leaves one of
+    # them in each task.
+    texts = docs.select(F.xxhash64(f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("text"))
+    counts = {r.pattern: r.n for r in texts.select("text").mapInArrow(look, "pattern int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = LabelModel.fit(counts)
-    taken = bounded_sample(looked, sum(counts.values()), sample, F.col("h")).toArrow()
+    chosen = bounded_sample(texts, sum(counts.values()), sample, F.col("h"), whole=True).groupBy("h").agg(F.any_value("text").alias("text")).limit(sample)
+    taken = chosen.mapInArrow(learn, "h bigint, pattern int, buckets array<int>, shares array<float>").toArrow().sort_by("h")
     rows = [dict(zip(b, v, strict=True)) for b, v in zip(taken.column("buckets").to_pylist(), taken.column("shares").to_pylist(), strict=True)]
     if not rows:
         return QualityModel(labels, Scorer(np.zeros(0, dtype=np.int64), np.zeros(0)))
