@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, replace
+from functools import lru_cache
 
 #: Fixed values of the format: flag bits, vocabulary sizes, quantisation total.
 FLAG_NGRAM, FLAG_LZP, FLAG_ADAPTIVE, FLAG_SKIP = 1, 2, 4, 8
@@ -52,3 +54,11 @@ class Config:
 
     def as_dict(self) -> dict:
         return asdict(self)
+
+
+@lru_cache(maxsize=256)
+def recorded(flags: int, temperature: float, settings: str | None, given: Config) -> Config:
+    """What a container was written with: its header's flags and temperature, and all
+    else from the recorded ``settings``, or from ``given`` where there are none."""
+    base = Config(**json.loads(settings)) if settings else given
+    return replace(base.with_flags(flags), temperature=temperature)

@@ -35,7 +35,7 @@ def split_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int | Colu
     """(id, chunk_no, off, len, chunk) of each text; empty chunks at the end go."""
     text = F.col("text")
     n = F.lit(chunks) if isinstance(chunks, int) else chunks
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), cuts(F.col(text_col), n).alias("cuts"))
+    cut = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), cuts(F.col(f"`{text_col}`"), n).alias("cuts"))
     kept = let(F.length(text), lambda n: F.filter("cuts", lambda c, i: (i == 0) | (c < n)))
     out = cut.withColumn("cuts", kept).select("id", "text", "cuts", F.posexplode("cuts").alias("chunk_no", "off"))
     end = F.coalesce(F.get("cuts", F.col("chunk_no") + 1), F.length(text))

@@ -166,41 +166,46 @@ class Model:
         return p
 
     def predict(self, active: int) -> np.ndarray:
-        """One distribution for each active sequence; keeps what ``learn`` needs."""
+        """One distribution for each active sequence; keeps what ``learn`` needs. The
+        scorer is asked only for sequences of which the n-grams aren't sure."""
         c = self.config
-        raw = self.scorer.probs(active)
-        if c.temperature != 1.0:
-            raw = softmax(np.log(raw + 1e-10) / c.temperature)
-        ngram = self._ngram(active) if c.ngram else None
-        match = self._match(active) if c.lzp else None
-        self.raw, self.parts = raw, None
-        self.skipped = np.zeros(active, dtype=bool)
-        if self.step < c.warmup:
-            return raw
-        own = softmax(np.log(raw + 1e-10) + self.bias[:active]) if c.adaptive else raw
-        self.raw, self.parts = own, np.stack([x for x in (own, ngram, match) if x is not None])
-        weights = softmax(self.logs[:active])
-        p = (weights.T[:, :, None] * self.parts).sum(0)
+        warm = self.step < c.warmup
+        self.used, self.parts = np.arange(active), None
+        ngram = self._ngram(active) if c.ngram and not warm else None
+        match = self._match(active) if c.lzp and not warm else None
         if c.skip and ngram is not None:
-            self.skipped = entropy_bits(ngram) < c.skip_bits
-            if self.skipped.any():
-                fast = SKIP_NGRAM * ngram + SKIP_LZP * match if match is not None else ngram
-                p[self.skipped] = fast[self.skipped]
-                self.skips[:active] += self.skipped
+            sure = entropy_bits(ngram) < c.skip_bits
+            self.used = np.flatnonzero(~sure)
+            self.skips[:active] += sure
+        if len(self.used):
+            self.raw = self.scorer.probs(self.used)
+            if c.temperature != 1.0:
+                self.raw = softmax(np.log(self.raw + 1e-10) / c.temperature)
+        if warm:
+            return self.raw
+        p = np.empty((active, c.vocabulary))
+        if len(self.used) < active:
+            fast = SKIP_NGRAM * ngram[sure] + SKIP_LZP * match[sure] if match is not None else ngram[sure]
+            p[sure] = fast
+        if len(self.used):
+            if c.adaptive:
+                self.raw = softmax(np.log(self.raw + 1e-10) + self.bias[self.used])
+            self.parts = np.stack([self.raw, *(x[self.used] for x in (ngram, match) if x is not None)])
+            p[self.used] = (softmax(self.logs[self.used]).T[:, :, None] * self.parts).sum(0)
         return p
 
     def learn(self, tokens: np.ndarray) -> None:
-        c, active = self.config, len(tokens)
-        rows = np.arange(active)
-        use = np.flatnonzero(~self.skipped)
-        if self.parts is not None and len(use):
-            self.logs[use] += c.mixer_rate * np.log(np.maximum(self.parts[:, use, tokens[use]].T, 1e-8))
-            self.logs[use] -= self.logs[use].max(1, keepdims=True)
-        if c.adaptive and len(use):
-            step = -c.adaptive_rate * self.raw[use]
-            step[np.arange(len(use)), tokens[use]] += c.adaptive_rate
-            self.bias[use] += step
-        self.unigram[rows, tokens] += 1
+        c, use = self.config, self.used
+        if len(use):
+            rows = np.arange(len(use))
+            if self.parts is not None:
+                self.logs[use] += c.mixer_rate * np.log(np.maximum(self.parts[:, rows, tokens[use]].T, 1e-8))
+                self.logs[use] -= self.logs[use].max(1, keepdims=True)
+            if c.adaptive:
+                step = -c.adaptive_rate * self.raw
+                step[rows, tokens[use]] += c.adaptive_rate
+                self.bias[use] += step
+        self.unigram[np.arange(len(tokens)), tokens] += 1
         for i, t in enumerate(tokens.tolist()):
             if c.ngram:
                 self.ngrams[i].update(t)

@@ -11,8 +11,10 @@ Integers are big-endian.
           method u8, length u32, blob     if any entry is binary
           for each text entry: parts u16, (tokens, bits, length) u32 each, streams
 
-The header doesn't hold the other settings, so a table of containers carries them
-in ``config``, and reading uses them."""
+Reading takes flags and temperature from the header. The header doesn't hold the other
+settings, so a table of containers carries them in ``config``; where that column is
+missing, they are those given to the reader. Null texts and bytes have null containers.
+Ids must be unique."""
 
 from __future__ import annotations
 
@@ -24,10 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from quillbit.config import Config
-from quillbit.functions.text import header_hex, latin1
+from quillbit.config import Config, recorded
+from quillbit.functions.text import header_hex, latin1, text_mode
 from quillbit.operators.blobs import pack_blob, unpack_blob
 from quillbit.operators.chunks import split_chunks
 from quillbit.operators.codec import decode_chunks, encode_chunks
@@ -37,6 +39,8 @@ from quillbit.session import ensure_importable, spread
 TEXT_MAGIC, BYTES_MAGIC, VERSION = b"NC05", b"NC06", 1
 #: Chunks that a task codes at a time.
 BATCH = 256
+#: Columns that carry the settings of a row.
+_OWN = ("flags", "temperature", "settings")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -44,34 +48,55 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, BATCH)
 
 
-def encode_rows(chunks: DataFrame, config: Config) -> DataFrame:
-    """(key.., tokens, bits, stream, skipped) for rows (key.., data binary)."""
+def _configs(rows: pa.RecordBatch, config: Config) -> list[Config]:
+    """The settings of each row, from its own columns where it has them."""
+    if not set(_OWN) <= set(rows.schema.names):
+        return [config] * rows.num_rows
+    return [recorded(*x, config) for x in zip(*(rows.column(c).to_pylist() for c in _OWN), strict=True)]
+
+
+def _by_config(items: list, configs: list[Config], run) -> list:
+    """``run`` of the items of each config, in the order of the items."""
+    out: list = [None] * len(items)
+    for each in dict.fromkeys(configs):
+        at = [i for i, c in enumerate(configs) if c == each]
+        for i, found in zip(at, run([items[i] for i in at], each), strict=True):
+            out[i] = found
+    return out
+
+
+def encode_rows(chunks: DataFrame, config: Config, keep_data: bool = False) -> DataFrame:
+    """(key.., tokens, bits, stream, skipped) for rows (key.., data binary); with
+    ``keep_data`` the data stays beside them. Where the rows have the columns (flags,
+    temperature, settings), these go before ``config``."""
     ensure_importable(chunks.sparkSession)
-    keys = [c for c in chunks.columns if c != "data"]
+    keys = [c for c in chunks.columns if c not in _OWN and (c != "data" or keep_data)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _slices(batch):
-                coded = encode_chunks(rows.column("data").to_pylist(), config)
+                coded = _by_config(rows.column("data").to_pylist(), _configs(rows, config), encode_chunks)
                 yield pa.RecordBatch.from_pydict({k: rows.column(k) for k in keys} | {"tokens": pa.array([x[0] for x in coded], pa.int64()), "bits": pa.array([x[1] for x in coded], pa.int64()), "stream": pa.array([x[2] for x in coded], pa.binary()), "skipped": pa.array([x[3] for x in coded], pa.int64())})
 
     schema = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys)
     return chunks.mapInArrow(run, f"{schema}, tokens bigint, bits bigint, stream binary, skipped bigint")
 
 
-def decode_rows(streams: DataFrame, config: Config) -> DataFrame:
-    """(key.., data) for rows (key.., tokens, stream)."""
+def decode_rows(streams: DataFrame, config: Config, out: str = "data") -> DataFrame:
+    """The rows with what their (tokens, stream) decode to in ``out``. Where they have
+    the columns (flags, temperature, settings), these go before ``config``."""
     ensure_importable(streams.sparkSession)
-    keys = [c for c in streams.columns if c not in ("tokens", "stream")]
+    keys = [c for c in streams.columns if c not in (*_OWN, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _slices(batch):
-                found = decode_chunks(list(zip(rows.column("tokens").to_pylist(), rows.column("stream").to_pylist(), strict=True)), config)
-                yield pa.RecordBatch.from_pydict({k: rows.column(k) for k in keys} | {"data": pa.array(found, pa.binary())})
+                coded = list(zip(rows.column("tokens").to_pylist(), rows.column("stream").to_pylist(), strict=True))
+                found = _by_config(coded, _configs(rows, config), decode_chunks)
+                yield pa.RecordBatch.from_pydict({k: rows.column(k) for k in keys} | {out: pa.array(found, pa.binary())})
 
     schema = ", ".join(f"{k} {streams.schema[k].dataType.simpleString()}" for k in keys)
-    return streams.mapInArrow(run, f"{schema}, data binary")
+    return streams.mapInArrow(run, f"{schema}, {out} binary")
 
 
 def _joined(column: str, field: str) -> Column:
@@ -83,13 +108,23 @@ def _entries(column: str) -> Column:
     return F.unhex(F.array_join(F.transform(column, lambda c: F.concat(wide(c["tokens"]), wide(c["bits"]), wide(F.octet_length(c["stream"])))), ""))
 
 
-def compress_texts(docs: DataFrame, id_col: str, text_col: str, chunks: int | Column = 4, config: Config = Config()) -> DataFrame:
-    """(id, container, config, n_bytes, skipped) of every text."""
-    split = split_chunks(docs, id_col, text_col, chunks).select("id", "chunk_no", F.col("chunk").cast("binary").alias("data"))
-    coded = encode_rows(spread(split, "id", "chunk_no"), config)
+def compress_texts(docs: DataFrame, id_col: str, text_col: str, chunks: int | Column = 4, config: Config = Config(), flags: Column | None = None, temperature: Column | None = None) -> DataFrame:
+    """(id, container, config, n_bytes, skipped) of every text. ``flags`` and
+    ``temperature`` may be columns of ``docs``, which then go before the config's."""
+    settings = F.lit(json.dumps(config.as_dict()))
+    own = [(F.lit(config.flags) if flags is None else flags).cast("int"), (F.lit(config.temperature) if temperature is None else temperature).cast("double")]
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for c, n in zip(own, _OWN, strict=False)])
+    texts = docs.where(F.col(f"`{text_col}`").isNotNull()).withColumn("__key", key)
+    split = split_chunks(texts, "__key", text_col, chunks).select("id", "chunk_no", F.col("chunk").cast("binary").alias("data"))
+    coded = encode_rows(spread(split, "id", "chunk_no").select("*", "id.flags", "id.temperature", settings.alias("settings")), config)
     files = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "tokens", "bits", "stream"))).alias("c"), F.sum("tokens").alias("n_bytes"), F.sum("skipped").alias("skipped"))
-    head = F.unhex(header_hex(F.lit(config.flags), F.lit(config.temperature), F.size("c")))
-    return files.select("id", F.concat(head, _entries("c"), _joined("c", "stream")).alias("container"), F.lit(json.dumps(config.as_dict())).alias("config"), "n_bytes", "skipped")
+    head = F.unhex(header_hex(F.col("id.flags"), F.col("id.temperature"), F.size("c")))
+    written = files.select("id.id", F.concat(head, _entries("c"), _joined("c", "stream")).alias("container"), settings.alias("config"), "n_bytes", "skipped")
+    return written.union(_nulls(docs, id_col, text_col).select("id", F.lit(None).cast("binary"), settings, F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
+
+
+def _nulls(docs: DataFrame, id_col: str, column: str) -> DataFrame:
+    return docs.where(F.col(f"`{column}`").isNull()).select(F.col(f"`{id_col}`").alias("id"))
 
 
 def parse_text_container(data: bytes) -> dict:
@@ -115,24 +150,29 @@ def _struct(**fields) -> StructType:
 
 
 
-@F.pandas_udf(ArrayType(_struct(chunk_no=IntegerType(), **_CODED)))
-def text_chunks(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: parse_text_container(bytes(d))["chunks"])
+@F.pandas_udf(_struct(flags=IntegerType(), temperature=DoubleType(), chunks=ArrayType(_struct(chunk_no=IntegerType(), **_CODED))))
+def text_parts(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_text_container(bytes(d)) for d in data], columns=["flags", "temperature", "chunks"])
 
 
 def check_magic(containers: DataFrame, column: str = "container") -> DataFrame:
     """The rows; reading one that is no container raises."""
     magic = F.substring(F.col(column), 1, 4)
-    known = (magic == F.lit(TEXT_MAGIC)) | (magic == F.lit(BYTES_MAGIC))
+    known = F.col(column).isNull() | (magic == F.lit(TEXT_MAGIC)) | (magic == F.lit(BYTES_MAGIC))
     return containers.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(F.lit("not a container")).cast("binary")))
 
 
+def _settings(files: DataFrame) -> Column:
+    return (F.col("config") if "config" in files.columns else F.lit(None).cast("string")).alias("settings")
+
+
 def decompress_texts(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """(id, text) of containers (id, container) that were written with ``config``."""
-    parts = files.select("id", F.explode(text_chunks("container")).alias("c")).select("id", "c.chunk_no", "c.tokens", "c.stream")
+    """(id, text) of containers (id, container[, config])."""
+    whole = files.where(F.col("container").isNotNull()).select("id", text_parts("container").alias("x"), _settings(files))
+    parts = whole.select("id", "settings", "x.flags", "x.temperature", F.explode("x.chunks").alias("c")).select("id", "settings", "flags", "temperature", "c.chunk_no", "c.tokens", "c.stream")
     done = decode_rows(spread(parts, "id", "chunk_no"), config)
-    whole = done.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "data"))).alias("c"))
-    return whole.select("id", _joined("c", "data").cast("string").alias("text"))
+    texts = done.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "data"))).alias("c"))
+    return texts.select("id", _joined("c", "data").cast("string").alias("text")).union(_nulls(files, "id", "container").select("id", F.lit(None).cast("string")))
 
 
 # Bytes
@@ -183,7 +223,8 @@ def parse_bytes_container(data: bytes) -> dict:
 
 def compress_bytes(data: DataFrame, id_col: str, bytes_col: str, parts: int = 4, config: Config = Config()) -> DataFrame:
     """(id, container, config, n_bytes) of every byte string."""
-    found = data.select(F.col(id_col).alias("id"), F.col(bytes_col).cast("binary").alias("data"))
+    every = data.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{bytes_col}`").cast("binary").alias("data"))
+    found = every.where("data is not null")
     regions = segments(found, "id", "data").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg_no", "kind", "off", "len"))).alias("s"))
     cut = found.join(regions, "id", "left").withColumn("s", F.coalesce("s", F.expr("cast(array() as array<struct<seg_no: int, kind: string, off: bigint, len: bigint>>)")))
     piece = lambda s: F.substring(F.col("data"), (s["off"] + 1).cast("int"), s["len"].cast("int"))
@@ -204,23 +245,25 @@ def compress_bytes(data: DataFrame, id_col: str, bytes_col: str, parts: int = 4,
             out.append(pack_bytes_container(config, entries, bytes(blob_) if any(k == "B" for k, _ in entries) else None, by))
         return pd.Series(out)
 
-    return heads.join(coded, "id", "left").select("id", pack("s", "blob", "c").alias("container"), F.lit(json.dumps(config.as_dict())).alias("config"), "n_bytes")
+    settings = F.lit(json.dumps(config.as_dict())).alias("config")
+    written = heads.join(coded, "id", "left").select("id", pack("s", "blob", "c").alias("container"), settings, "n_bytes")
+    return written.union(_nulls(every, "id", "data").select("id", F.lit(None).cast("binary"), settings, F.lit(None).cast("bigint")))
 
 
-_PARSED = _struct(kinds=ArrayType(StringType()), sizes=ArrayType(LongType()), blob=BinaryType(), parts=ArrayType(_struct(seg_no=IntegerType(), part=IntegerType(), **_CODED)))
+_PARSED = _struct(flags=IntegerType(), temperature=DoubleType(), kinds=ArrayType(StringType()), sizes=ArrayType(LongType()), blob=BinaryType(), parts=ArrayType(_struct(seg_no=IntegerType(), part=IntegerType(), **_CODED)))
 
 
 @F.pandas_udf(_PARSED)
 def bytes_parts(data: pd.Series) -> pd.DataFrame:
     found = [parse_bytes_container(bytes(d)) for d in data]
-    return pd.DataFrame({"kinds": [[k for k, _ in x["entries"]] for x in found], "sizes": [[n for _, n in x["entries"]] for x in found], "blob": [x["blob"] for x in found], "parts": [x["parts"] for x in found]})
+    return pd.DataFrame({"flags": [x["flags"] for x in found], "temperature": [x["temperature"] for x in found], "kinds": [[k for k, _ in x["entries"]] for x in found], "sizes": [[n for _, n in x["entries"]] for x in found], "blob": [x["blob"] for x in found], "parts": [x["parts"] for x in found]})
 
 
 def decompress_bytes(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """(id, data) of containers (id, container): text entries decoded, binary ones
-    cut from the blob, in the order of the entries."""
-    parsed = files.select("id", bytes_parts("container").alias("x")).select("id", "x.*")
-    parts = parsed.select("id", F.explode("parts").alias("p")).select("id", "p.seg_no", "p.part", "p.tokens", "p.stream")
+    """(id, data) of containers (id, container[, config]): text entries decoded, binary
+    ones cut from the blob, in the order of the entries."""
+    parsed = files.where(F.col("container").isNotNull()).select("id", _settings(files), bytes_parts("container").alias("x")).select("id", "settings", "x.*")
+    parts = parsed.select("id", "settings", "flags", "temperature", F.explode("parts").alias("p")).select("id", "settings", "flags", "temperature", "p.seg_no", "p.part", "p.tokens", "p.stream")
     texts = decode_rows(spread(parts, "id", "seg_no", "part"), config).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg_no", "part", "data"))).alias("t"))
 
     @F.pandas_udf("binary")
@@ -240,4 +283,30 @@ def decompress_bytes(files: DataFrame, config: Config = Config()) -> DataFrame:
             out.append(b"".join(whole))
         return pd.Series(out)
 
-    return parsed.join(texts, "id", "left").select("id", rebuild("kinds", "sizes", "blob", "t").alias("data"))
+    done = parsed.join(texts, "id", "left").select("id", rebuild("kinds", "sizes", "blob", "t").alias("data"))
+    return done.union(_nulls(files, "id", "container").select("id", F.lit(None).cast("binary")))
+
+
+# Either
+
+
+def compress(files: DataFrame, id_col: str, content_col: str, chunks: int | Column = 4, config: Config = Config()) -> DataFrame:
+    """(id, container, config, n_bytes, mode) of every file's bytes: a text container for
+    valid UTF-8, a bytes container for all else, which ``mode`` says."""
+    rows = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{content_col}`").cast("binary").alias("content"))
+    mode = text_mode(F.col("content"))
+    texts = rows.where(F.col("content").isNull() | (mode == "NC05")).select("id", F.col("content").cast("string").alias("text"))
+    out = ["id", "container", "config", "n_bytes"]
+    first = compress_texts(texts, "id", "text", chunks, config).select(*out, F.lit("NC05").alias("mode"))
+    parts = chunks if isinstance(chunks, int) else 4
+    return first.union(compress_bytes(rows.where(F.col("content").isNotNull() & (mode == "NC06")), "id", "content", parts, config).select(*out, F.lit("NC06").alias("mode")))
+
+
+def decompress(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """(id, content, mode) of containers (id, container[, config]) of either kind, told
+    apart by their magic; any other raises."""
+    checked = check_magic(files)
+    kind = F.substring(F.col("container"), 1, 4)
+    texts = decompress_texts(checked.where(F.col("container").isNull() | (kind == F.lit(TEXT_MAGIC))), config)
+    data = decompress_bytes(checked.where(kind == F.lit(BYTES_MAGIC)), config)
+    return texts.select("id", F.col("text").cast("binary").alias("content"), F.lit("NC05").alias("mode")).union(data.select("id", "data", F.lit("NC06")))

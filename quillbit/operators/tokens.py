@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbit.functions.text import latin1
+
 WORD_CLASS = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"
 
 
@@ -15,13 +17,16 @@ def word_tokens(text: Column) -> Column:
 
 def byte_tokens(text: Column) -> Column:
     """The UTF-8 bytes, as numbers."""
-    digits = F.hex(text.cast("binary"))
-    return F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(latin1(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def text_of_bytes(tokens: Column) -> Column:
+    """The text of its bytes as numbers."""
+    return F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(t.cast("bigint")), 2, "0")), "")).cast("string")
 
 
-def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, tok)."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(word_tokens(F.col(text_col))).alias("pos", "tok"))
+def text_of_words(tokens: Column) -> Column:
+    return F.array_join(tokens, "")
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

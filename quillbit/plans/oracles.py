@@ -123,10 +123,15 @@ SELECT doc_id, CAST(len(list_filter(b, lambda x: regexp_full_match(x, '{_TEXT}')
     "byte_runs": f"WITH {_runs('documents', 'doc_id', 'text')} SELECT id, CAST(run_no AS BIGINT) AS run_no, kind, off, len FROM placed",
     "segments": _segments("documents", "doc_id", "text") + " SELECT id, row_number() OVER (PARTITION BY id ORDER BY off) - 1 AS seg_no, kind, off, len FROM g",
     "segment_summary": _segments("pages", "page_id", "html") + " SELECT kind, count(*) AS n, CAST(sum(len) AS BIGINT) AS n_bytes, max(len) AS longest FROM g GROUP BY kind",
-    "mode_dispatch": "SELECT 'NC05' AS mode, count(*) AS n FROM documents HAVING count(*) > 0",
+    "mode_dispatch": "SELECT CASE WHEN doc_id % 3 = 0 THEN 'NC06' ELSE 'NC05' END AS mode, count(*) AS n FROM documents GROUP BY 1",
     "split_chunks": _cuts(4) + " SELECT id, CAST(chunk_no AS BIGINT) AS chunk_no, off, len FROM parts",
     "worker_count": """SELECT doc_id, CAST(CASE WHEN n_chars - 512 < 1169 THEN 1 ELSE least(8, 1 + (n_chars - 512 - 1169) // 660) END AS BIGINT) AS workers FROM documents""",
     "chunk_assignment": _cuts(8) + " SELECT CAST(chunk_no % 3 AS BIGINT) AS worker, count(*) AS n, CAST(sum(len) AS BIGINT) AS n_chars FROM parts GROUP BY 1",
+    "token_roundtrip": f"""SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(len(regexp_extract_all(text, '{_WORDS}')) AS BIGINT) AS n_words,
+  CASE WHEN strlen(text) > 0 THEN CAST('0x' || substr(hex(encode(text)), 1, 2) AS BIGINT) END AS first_byte, true AS bytes_lossless, true AS words_lossless FROM documents""",
+    "settings_roundtrip": """WITH s AS (SELECT conv_id, turn, conv_id * 7 + turn AS k FROM conversations WHERE turn < 2)
+SELECT conv_id, turn, (k & 7) | CASE WHEN k & 9 = 9 THEN 8 ELSE 0 END AS flags,
+  CAST(CASE k % 3 WHEN 0 THEN 10000 WHEN 1 THEN 8000 ELSE 13000 END AS BIGINT) AS temperature, true AS lossless FROM s""",
     "token_counts": f"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '{_WORDS}')) AS BIGINT) AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents",
     "vocab_counts": f"WITH {_TOKENS} SELECT t AS tok, count(*) AS n FROM t GROUP BY t",
     **{f"ngram{k}_counts": _grams(k) + " SELECT ctx, tok, n FROM n" for k in (1, 2, 3, 4)},
@@ -145,9 +150,15 @@ SELECT doc_id, CAST(len(list_filter(b, lambda x: regexp_full_match(x, '{_TEXT}')
 r AS (SELECT byte, c + CASE WHEN row_number() OVER (ORDER BY c DESC, byte) = 1 THEN 16777216 - (SELECT sum(c) FROM c) ELSE 0 END AS c FROM c),
 s AS (SELECT byte, c, sum(c) OVER (ORDER BY byte) AS hi FROM r)
 SELECT byte, CAST(hi - c AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM s""",
-    "size_report": "WITH s AS (SELECT source, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY source) SELECT source, n_docs, n_bytes, "
+    "size_report": """WITH h AS (SELECT source, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents),
+n AS (SELECT source, x, count(*) AS n FROM h GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY source) AS c FROM n),
+e AS (SELECT source, CAST(ceil(round(-sum(n * log2(n / c)) / 8, 2)) AS BIGINT) AS n_coded FROM t GROUP BY source),
+s AS (SELECT source, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY source)
+SELECT source, n_docs, n_bytes, """
     + _SIZE.format(n="n_bytes")
-    + " AS size, round(CASE WHEN n_bytes > 0 THEN n_bytes / 3::DOUBLE / n_bytes ELSE 0 END, 6) AS ratio FROM s",
+    + """ AS size, n_coded, CASE WHEN n_coded = n_bytes THEN 'identical' WHEN n_coded < n_bytes THEN printf('%.1f', (1 - n_coded / n_bytes::DOUBLE) * 100) || '% smaller' ELSE printf('%.1f', (n_coded / n_bytes::DOUBLE - 1) * 100) || '% larger' END AS verdict,
+  round(n_coded / n_bytes::DOUBLE, 6) AS ratio FROM s JOIN e USING (source)""",
     "format_size": "WITH s AS (SELECT doc_id, n_chars * (doc_id % 512) AS n_bytes FROM documents) SELECT doc_id, n_bytes, " + _SIZE.format(n="n_bytes") + " AS size FROM s",
     "compress_verdict": """WITH s AS (SELECT doc_id, n_chars * 10 + doc_id % 3 AS own, strlen(text) * 10 + 1 AS other FROM documents)
 SELECT doc_id, CASE WHEN own = other OR other = 0 THEN 'identical' WHEN own < other THEN printf('%.1f', (1 - own / other::DOUBLE) * 100) || '% smaller' ELSE printf('%.1f', (own / other::DOUBLE - 1) * 100) || '% larger' END AS verdict,

@@ -11,6 +11,7 @@ from quillbit.operators import chunks, container, entropy, online, segments, tok
 from quillbit.operators.blobs import gzip_size, pack_blob_column, unpack_blob_column
 from quillbit.operators.codec import encode_chunks
 from quillbit.session import balanced, load, spread
+from quillbit.staging import stage
 
 CHUNKS, WORKERS = 4, 3
 _WORDS = Config(vocabulary=WORD_VOCABULARY)
@@ -44,7 +45,9 @@ def segment_summary(spark, d):
 
 
 def mode_dispatch(spark, d):
-    return _docs(spark, d).groupBy(T.text_mode(F.col("text")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    """Every third text is followed by a byte that UTF-8 doesn't have."""
+    spoilt = F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    return _docs(spark, d).groupBy(T.text_mode(F.concat(F.col("text").cast("binary"), spoilt)).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_chunks(spark, d):
@@ -60,6 +63,14 @@ def chunk_assignment(spark, d):
     return rows.groupBy(chunks.assign(F.col("chunk_no"), WORKERS).cast("bigint").alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("n_chars"))
 
 
+def token_roundtrip(spark, d):
+    """Both tokenizers, and whether their tokens give the text back."""
+    of_bytes, of_words = tokens.byte_tokens(F.col("text")), tokens.word_tokens(F.col("text"))
+    rows = _docs(spark, d).select("doc_id", "text", of_bytes.alias("b"), of_words.alias("w"))
+    first = F.when(F.size("b") > 0, F.get("b", F.lit(0))).cast("bigint")
+    return rows.select("doc_id", F.size("b").cast("bigint").alias("n_bytes"), F.size("w").cast("bigint").alias("n_words"), first.alias("first_byte"), (tokens.text_of_bytes(F.col("b")) == F.col("text")).alias("bytes_lossless"), (tokens.text_of_words(F.col("w")) == F.col("text")).alias("words_lossless"))
+
+
 def token_counts(spark, d):
     return tokens.token_counts(_docs(spark, d), "doc_id", "text")
 
@@ -147,8 +158,11 @@ def cdf_unigram(spark, d):
 
 
 def size_report(spark, d):
+    """Bytes of each source, and what an ideal code of single bytes leaves of them."""
     rows = _docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
-    return rows.select("source", "n_docs", "n_bytes", T.format_size(F.col("n_bytes")).alias("size"), F.round(T.ratio(F.col("n_bytes") / 3, F.col("n_bytes")), 6).alias("ratio"))
+    coded = entropy.conditional_entropy(entropy.byte_grams(_docs(spark, d), "text", 0, "source"), "source").select("source", F.ceil(F.round(F.col("n") * F.col("bits") / 8, 2)).cast("bigint").alias("n_coded"))
+    own = rows.join(coded, "source")
+    return own.select("source", "n_docs", "n_bytes", T.format_size(F.col("n_bytes")).alias("size"), "n_coded", T.verdict(F.col("n_coded"), F.col("n_bytes")).alias("verdict"), F.round(T.ratio(F.col("n_coded"), F.col("n_bytes")), 6).alias("ratio"))
 
 
 def format_size(spark, d):
@@ -200,9 +214,24 @@ def confidence_skip(spark, d):
 def codec_roundtrip(spark, d):
     """Each turn as one chunk: coded size, and whether decoding gives it back."""
     turns = load(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    coded = container.encode_rows(spread(turns, "conv_id", "turn"), Config())
-    back = container.decode_rows(coded.select("conv_id", "turn", "tokens", "stream"), Config()).withColumnRenamed("data", "back")
-    return coded.join(back, ["conv_id", "turn"]).join(turns, ["conv_id", "turn"]).select("conv_id", "turn", F.octet_length("data").cast("bigint").alias("n_bytes"), F.octet_length("stream").cast("bigint").alias("n_coded"), (F.col("data") == F.col("back")).alias("lossless"))
+    coded = container.encode_rows(spread(turns, "conv_id", "turn"), Config(), keep_data=True)
+    back = container.decode_rows(coded.select("conv_id", "turn", "data", "tokens", "stream"), Config(), "back")
+    return back.select("conv_id", "turn", F.octet_length("data").cast("bigint").alias("n_bytes"), F.octet_length("stream").cast("bigint").alias("n_coded"), (F.col("data") == F.col("back")).alias("lossless"))
+
+
+def settings_roundtrip(spark, d):
+    """Turns written with all feature flags and three temperatures, and read by what
+    their headers say."""
+    number = F.col("conv_id") * 7 + F.col("turn")
+    turns = load(spark, d, "conversations").where("turn < 2").select(F.struct("conv_id", "turn").alias("key"), F.coalesce("text", F.lit("")).alias("text"), number.alias("number"))
+    bit = lambda k: F.pmod(F.floor(F.col("number") / k), F.lit(2)) == 1
+    flags = T.flags(bit(1), bit(2), bit(4), bit(8))
+    temperature = F.get(F.array(F.lit(1.0), F.lit(0.8), F.lit(1.3)), F.pmod("number", F.lit(3)).cast("int"))
+    files = stage(container.compress_texts(turns, "key", "text", 2, flags=flags, temperature=temperature), "containers")
+    back = container.decompress(files.select("id", "container")).select("id", F.col("content").cast("string").alias("back"))
+    out = files.join(back, "id").join(turns.select(F.col("key").alias("id"), "text"), "id")
+    head = lambda at, n: F.conv(F.hex(F.substring("container", at, n)), 16, 10).cast("bigint")
+    return out.select("id.conv_id", "id.turn", head(5, 1).alias("flags"), head(6, 2).alias("temperature"), (F.col("text") == F.col("back")).alias("lossless"))
 
 
 def blob_method(spark, d):
@@ -215,7 +244,7 @@ def nc05_roundtrip(spark, d):
     docs = _docs(spark, d).select("doc_id", "text")
     # Chunks of about 2 KB: as many as keep every task's state small.
     parts = F.least(F.lit(65535), F.greatest(F.lit(1), F.ceil(F.length("text") / 2048))).cast("int")
-    files = container.compress_texts(docs, "doc_id", "text", parts)
+    files = stage(container.compress_texts(docs, "doc_id", "text", parts), "containers")
     back = container.decompress_texts(files.select("id", "container")).withColumnRenamed("text", "back")
     out = files.join(back, "id").join(docs.withColumnRenamed("doc_id", "id"), "id")
     gzip = gzip_size(F.col("text").cast("binary"))
@@ -225,7 +254,7 @@ def nc05_roundtrip(spark, d):
 
 def nc06_roundtrip(spark, d):
     data = load(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
-    files = container.compress_bytes(data, "page_id", "data")
+    files = stage(container.compress_bytes(data, "page_id", "data"), "containers")
     back = container.decompress_bytes(files.select("id", "container")).withColumnRenamed("data", "back")
     out = files.join(back, "id").join(data.withColumnRenamed("page_id", "id"), "id")
     return out.select("id", "n_bytes", F.octet_length("container").cast("bigint").alias("n_coded"), (F.col("data") == F.col("back")).alias("lossless"))
@@ -241,6 +270,7 @@ QUERIES = {
     "split_chunks": split_chunks,
     "worker_count": worker_count,
     "chunk_assignment": chunk_assignment,
+    "token_roundtrip": token_roundtrip,
     "token_counts": token_counts,
     "vocab_counts": vocab_counts,
     **{f"ngram{k}_counts": ngram_counts(k) for k in (1, 2, 3, 4)},
@@ -262,6 +292,7 @@ QUERIES = {
     "adaptive_bias": adaptive_bias,
     "confidence_skip": confidence_skip,
     "codec_roundtrip": codec_roundtrip,
+    "settings_roundtrip": settings_roundtrip,
     "blob_method": blob_method,
     "nc05_roundtrip": nc05_roundtrip,
     "nc06_roundtrip": nc06_roundtrip,

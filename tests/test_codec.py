@@ -115,7 +115,7 @@ def test_longest_match_wins():
 
 
 def test_warmup_uses_the_first_model_only():
-    model = Model(1, Config(), AdaptiveUnigram())
+    model = Model(1, Config(skip=False), AdaptiveUnigram())
     for i in range(103):
         p = model.predict(1)
         assert np.isclose(p.sum(), 1)
@@ -132,3 +132,33 @@ def test_blobs(size):
     assert method == ("L" if size >= LZMA_FROM else "G" if size > 1 else "R")
     noise = random.Random(2).randbytes(size)
     assert pack_blob(noise) == ("R", noise)
+
+
+def test_the_scorer_is_spared_where_the_ngrams_are_sure():
+    asked = []
+
+    class Counting(AdaptiveUnigram):
+        def probs(self, sequences):
+            asked.append(len(sequences))
+            return super().probs(sequences)
+
+    chunks = [TEXT * 3, TEXT, b"short"]
+    coded = encode_chunks(chunks, scorer=Counting)
+    assert sum(asked) == sum(c[0] - c[3] for c in coded) and coded[0][3] > 0
+    assert decode_chunks([(c[0], c[2]) for c in coded], scorer=Counting) == chunks
+
+
+@pytest.mark.parametrize("temperature", [0.8, 1.0, 1.3])
+def test_bytes_containers_are_read_by_their_headers(temperature):
+    """All flags: what the header says is enough to read a container."""
+    from quillbit.config import recorded
+    from quillbit.operators.container import pack_bytes_container, parse_bytes_container
+
+    for flags in range(16):
+        config = Config(temperature=temperature).with_flags(flags)
+        tokens, bits, stream = encode_chunks([TEXT[:150]], config)[0][:3]
+        data = pack_bytes_container(config, [("T", 150), ("B", 3)], b"abc", {0: [{"tokens": tokens, "bits": bits, "stream": stream}]})
+        found = parse_bytes_container(data)
+        part = found["parts"][0]
+        assert decode_chunks([(part["tokens"], part["stream"])], recorded(found["flags"], found["temperature"], None, Config())) == [TEXT[:150]]
+        assert found["blob"] == b"abc" and found["flags"] == config.flags

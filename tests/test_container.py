@@ -20,7 +20,7 @@ def test_texts(spark):
             head = C.parse_text_container(data)
             assert data[:4] == b"NC05" and head["flags"] == config.flags and head["temperature"] == config.temperature
             assert sum(c["tokens"] for c in head["chunks"]) == len(TEXTS[i].encode())
-        assert {r.id: r.text for r in C.decompress_texts(files.select("id", "container"), config).collect()} == dict(enumerate(TEXTS))
+        assert {r.id: r.text for r in C.decompress_texts(files.select("id", "container")).collect()} == dict(enumerate(TEXTS))
 
 
 def test_bytes(spark):
@@ -33,6 +33,49 @@ def test_bytes(spark):
     assert {x.id: bytes(x.data) for x in C.decompress_bytes(files.select("id", "container")).collect()} == dict(enumerate(data))
 
 
+def test_either_kind_by_its_header(spark):
+    rows = [(1, b"text one\n" * 30), (2, b"\xff\xfe" + b"mostly text " * 20), (3, b""), (4, None)]
+    files = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in rows], "id long, content binary")
+    config = Config(temperature=0.8, lzp=False, warmup=20, inner_cap=3)
+    packed = C.compress(files, "id", "content", 2, config).cache()
+    assert {r.id: r.mode for r in packed.collect()} == {1: "NC05", 2: "NC06", 3: "NC05", 4: "NC05"}
+    back = C.decompress(packed.select("id", "container", "config"))
+    assert sorted((r.id, None if r.content is None else bytes(r.content)) for r in back.collect()) == rows
+    # Without the settings beside it, a reader is told what the header doesn't say.
+    back = C.decompress(packed.select("id", "container"), Config(warmup=20, inner_cap=3))
+    assert sorted((r.id, None if r.content is None else bytes(r.content)) for r in back.collect()) == rows
+
+
+def test_commands(spark, tmp_path):
+    from quillbit import cli
+
+    for name, data in (("a/x.txt", b"one line\n" * 40), ("b/x.txt", b"other\r\n"), ("b/y.bin", b"\x00\xff" * 50)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    source, coded, back = (str(tmp_path / x) for x in ("in", "coded", "back"))
+    cli.main(["compress", source, coded, "--temperature", "0.9", "--no-lzp"], spark)
+    cli.main(["decompress", coded, back], spark)
+    files = lambda root: {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert files(tmp_path / "back") == files(tmp_path / "in")
+    assert set(files(tmp_path / "coded")) == {"a/x.txt.nc", "b/x.txt.nc", "b/y.bin.nc"}
+    report = {r.name: r for r in cli.run_benchmark(spark, source).collect()}
+    assert all(r.lossless for r in report.values()) and report["b/y.bin"].mode == "NC06" and report["a/x.txt"].n_bytes == 360
+
+
+def test_files_of_one_name_are_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([("x", bytearray(b"1")), ("x", bytearray(b"2"))], "name string, content binary")
+    with pytest.raises(PySparkException):
+        write_files(rows, str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    write_files(rows.limit(1), str(tmp_path / "out"))
+    with pytest.raises(PySparkException):
+        write_files(rows.limit(1), str(tmp_path / "out"))
+    write_files(rows.limit(1), str(tmp_path / "out"), overwrite=True)
+    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()] == ["x"]
+    with pytest.raises(PySparkException):
+        write_files(spark.createDataFrame([("../x", bytearray(b"1"))], rows.schema), str(tmp_path / "out"))
+
+
 def test_bad_magic(spark):
     rows = spark.createDataFrame([(bytearray(b"ABCD"),)], "container binary")
     with pytest.raises(PySparkException):

@@ -37,8 +37,8 @@ A, NUL = b"A" * 64, bytes([0x80])
 CASES = {
     "empty": (b"", []),
     "all text": (A * 2, [("T", 0, 128)]),
-    "all binary": (bytes(range(128, 256)) * 4, [("B", 0, 512)]),
-    "demote": (NUL * 100 + b"Hi" + NUL * 100, [("B", 0, 202)]),
+    "all binary": (b"\xc3\x28" * 150 + bytes(70), [("B", 0, 300 + 70)]),
+    "demote": (NUL * 64 + b"a few words" + b"\x06" * 90, [("B", 0, 165)]),
     "bridge": (A + NUL * 8 + A, [("T", 0, 136)]),
     "no bridge": (A + NUL * 64 + A, [("T", 0, 64), ("B", 64, 64), ("T", 128, 64)]),
     "absorb": (A + NUL * 9 + A, [("T", 0, 137)]),
