@@ -12,6 +12,10 @@ segments are decoded together, position by position over a matrix of bytes, and
 remembered in a table of bounded size; long ones run through a scalar loop with
 the same rules. Sums are float64, so very long texts keep exact scores.
 
+Unused pieces are never produced; user-defined ones are preferred as the format has
+it. Of paths of equal score, the one whose last piece is longest is taken, at every
+place.
+
 Cases: null gives null ids and null text; an empty text gives no ids; U+2581
 counts as a space, as in the format, and so decodes to a space; any other text
 decodes to itself, control and NUL characters included; bytes that aren't UTF-8
@@ -127,13 +131,19 @@ class Pieces:
             elif number == 3:
                 self.dummy_prefix = bool(dict(_fields(value)).get(3, 1))  # type: ignore[arg-type]
         self.scores = np.array([p[1] for p in pieces])
-        usable = {p[0]: i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER_DEFINED, UNUSED)}
+        usable = {p[0]: i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER_DEFINED)}
+        # A user-defined piece always wins where it stands: as the format has it, its
+        # score is a little below that of as many of the best pieces.
+        normal = [p[1] for p in pieces if p[2] == NORMAL]
+        for i, (piece, _, kind) in enumerate(pieces):
+            if kind == USER_DEFINED:
+                self.scores[i] = len(piece.decode()) * max(normal, default=0.0) - 0.1
         spaced = {k.replace(MARKER, b" "): i for k, i in usable.items()}
         if any(b"\n" in k or re.search(rb"[^ ] ", k) for k in spaced):
             raise ValueError("pieces cross the borders of segments")
         self.trie = DoubleArray(spaced)
         self.longest = max(map(len, spaced), default=1)
-        self.unknown_score = min((self.scores[i] for i in usable.values()), default=0.0) - UNKNOWN_PENALTY
+        self.unknown_score = min(normal, default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte_ids = np.full(256, self.unknown_id, dtype=np.int32)
         self.surface: list[bytes] = []
