@@ -5,7 +5,10 @@ once, under its SHA-256; ``records`` holds one row for each record with its exac
 header block and the address of its payload. Of records with equal payloads the
 one with the smallest id is the ``response`` and the others are ``revisit``
 records that name it. ``restore`` joins the two back into the bytes of each
-record, and ``read_back`` parses those bytes and checks both digests.
+record. ``read_back`` works from those bytes alone: it cuts the payload out of every
+response and checks its two digests and its length, checks the head against its own
+digest, and gives a revisit the payload of the response that it names, if that
+carries the same digest. A changed byte anywhere makes a record unverified.
 
 Equal payloads are reduced to one by partial aggregation before they move, so a
 payload that a third of all pages share leaves each task once; joins on its
@@ -15,7 +18,10 @@ never revisited.
 Cases: a null payload is empty (0 bytes); a null URL becomes an empty target; CR
 and LF in a URL are percent-encoded, so headers stay well formed; rows that
 repeat an id with the same payload are both responses; a null id takes part in
-no group. An empty table gives an empty archive. Extra columns are not stored.
+no group, and its record has a null ``page_id``, as has one whose id is no number; a
+revisit without its response has null ``payload_bytes`` and isn't verified. Very long
+payloads are stored and read whole. An empty table gives an empty archive. Extra
+columns are not stored.
 """
 
 from __future__ import annotations
@@ -85,37 +91,55 @@ def build(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         line("Content-Length", body.cast("string")),
         F.lit(CRLF),
     )
-    written = materialize(records.select("id", "kind", "refers_to", "address", header.cast("binary").alias("header"), F.lit(HTTP).cast("binary").alias("http")), "warc-records")
+    http = F.lit(HTTP).cast("binary")
+    head = header.cast("binary")
+    written = materialize(records.select("id", "kind", "address", head.alias("header"), http.alias("http"), F.sha2(F.concat(head, http), 256).alias("seal")), "warc-records")
     return Archive(written, store.select("address", "payload"))
 
 
 def restore(archive: Archive) -> DataFrame:
-    """(id, record, full_payload): the bytes of each record as they stand in a
-    WARC file, and the payload it stands for (that of the response, for a revisit)."""
-    joined = archive.records.join(archive.payloads, "address")
+    """(id, record, address, seal): the bytes of each record as they stand in a WARC
+    file, with the SHA-256 of the payload it stands for and of its head. Only responses
+    fetch their payload."""
     end = F.lit(CRLF + CRLF).cast("binary")
-    body = F.when(F.col("kind") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("id", F.concat("header", "http", body, end).alias("record"), F.col("payload").alias("full_payload"), "address")
+    answers = archive.records.where("kind = 'response'").join(archive.payloads, "address")
+    others = archive.records.where("kind <> 'response'")
+    out = lambda rows, body: rows.select("id", F.concat("header", "http", body, end).alias("record"), "address", "seal")
+    return out(answers, F.col("payload")).union(out(others, F.lit(b"")))
 
 
 def read_back(restored: DataFrame) -> DataFrame:
-    """Parse records and verify them: the header's digest must be that of the
-    payload, its address the payload's SHA-256, and its length that of the block."""
-    blank = F.instr(F.decode("record", "ISO-8859-1"), CRLF + CRLF)
-    head = F.decode(F.substring("record", F.lit(1), blank - 1), "UTF-8")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, verified) of each
+    record, from its bytes."""
+    plain, gap = F.decode("record", "ISO-8859-1"), F.lit(CRLF + CRLF)
+    blank = F.locate(CRLF + CRLF, plain)
+    found = restored.select("record", "address", "seal", blank.alias("blank"), F.call_function("locate", gap, plain, blank + 4).alias("http"))
+    size = F.octet_length("record")
+    payload = F.substring("record", F.col("http") + 4, F.greatest(size - F.col("http") - 7, F.lit(0)))
+    head = F.decode(F.substring("record", F.lit(1), F.col("blank") - 1), "UTF-8")
+    cut = found.select(head.alias("head"), payload.alias("payload"), "address", (size - F.col("blank") - 3 - 4).alias("block"), ((F.sha2(F.substring("record", F.lit(1), F.col("http") + 3), 256) == F.col("seal")) & (F.substring("record", size - 3, F.lit(4)) == gap.cast("binary"))).alias("sealed"))
     field = lambda name: F.nullif(F.regexp_extract(F.col("head"), rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
-    parsed = restored.select("id", "full_payload", "address", head.alias("head"), (F.octet_length("record") - blank - 3 - 4).alias("block"))
-    out = parsed.select(
-        field("WARC-Record-ID").alias("record_id"),
-        F.octet_length("full_payload").cast("bigint").alias("payload_bytes"),
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+    answer = F.col("record_type") == "response"
+    fields = cut.select(
+        number(field("WARC-Record-ID")).alias("page_id"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        field("WARC-Refers-To").alias("refers"),
-        ((F.col("block") == field("Content-Length").cast("bigint")) & (F.sha2("full_payload", 256) == F.col("address"))).alias("whole"),
-        base32_sha1(F.col("full_payload")).alias("computed"),
+        number(field("WARC-Refers-To")).alias("refers_to"),
+        F.octet_length("payload").cast("bigint").alias("size"),
+        (F.col("sealed") & (F.col("block") == field("Content-Length").try_cast("bigint"))).alias("whole"),
+        (F.sha2("payload", 256) == F.col("address")).alias("addressed"),
+        base32_sha1(F.col("payload")).alias("computed"),
     )
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
-    return out.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers")).alias("refers_to"), (F.col("whole") & (F.col("computed") == F.col("payload_digest"))).alias("verified"))
+    # Narrow rows, written once: no payload moves for the revisits.
+    read = materialize(fields, "warc-read")
+    right = F.col("whole") & F.col("addressed") & (F.col("computed") == F.col("payload_digest"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"]
+    answers = read.where(answer).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"), F.coalesce(right, F.lit(False)).alias("verified"))
+    named = answers.where("verified").groupBy(F.col("page_id").alias("named"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = read.where(~answer).join(named, (F.col("refers_to") == F.col("named")) & (F.col("payload_digest") == F.col("of")), "left")
+    sound = F.coalesce(F.col("whole") & (F.col("size") == 0) & F.col("payload_bytes").isNotNull(), F.lit(False))
+    return answers.select(columns).union(again.withColumn("verified", sound).select(columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
