@@ -101,3 +101,29 @@ def test_query_is_native_and_leaves_clean_texts(spark, tables):
         changed += hits > 0
         assert not re.search(r"\(\d{3}\) 555-\d{4}|@mail\d", r.text) or hits
     assert changed > 0
+
+
+def test_national_formats_and_their_decoys(spark):
+    """Day-first dates, cards of 4-6-5 digits, and national phone numbers keep their
+    forms; look-alikes stay."""
+    import datetime
+    import re
+
+    late = [f"{d:02d}/{m:02d}/{y}" for y in (1900, 1990, 2099) for m in range(1, 13) for d in range(13, 32) if d <= (datetime.date(y + m // 12, m % 12 + 1, 1) - datetime.timedelta(1)).day]
+    out = rewrite(spark, late)
+    assert len(set(out)) == len(late) and out != late
+    for new in out:
+        d, m, y = map(int, new.split("/"))
+        assert d > 12 and 1900 <= y <= 2099 and datetime.date(y, m, d)
+    leap = [f"29/02/{y}" for y in range(1904, 2100, 4)]
+    assert sorted(rewrite(spark, leap)) == leap and rewrite(spark, leap) != leap
+    for old in ("3782 822463 10005", "3782-822463-10005"):
+        new = rewrite(spark, [old])[0]
+        assert new != old and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", old)
+    for old in ("06 12 34 56 78", "06.12.34.56.78", "030 1234567", "0221/123456"):
+        new = rewrite(spark, [f"call {old}, please"])[0]
+        assert new != f"call {old}, please" and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", f"call {old}, please")
+        prefix = 2 if old[2] in " ." else len(re.split("[ /]", old)[0])
+        assert new[5 : 5 + prefix] == old[:prefix]
+    clean = ["13/13/1990", "31/04/2001", "29/02/1901", "32/01/2000", "3782 822463 10006", "00 12 34 56 78", "06 12 34 56 7", "1030 1234567", "v030 1234567", "06 12 34 56 78 90", "5551234567"]
+    assert rewrite(spark, clean) == clean
