@@ -18,6 +18,9 @@ from quillbit.session import ensure_importable
 SLICE_BYTES = 1 << 20
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -37,10 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back. This
     cuts the lineage and survives the loss of executors, as a rerun task reads
-    the files instead of repeating what led to them."""
+    the files instead of repeating what led to them. The shuffle files of the write
+    go with its end; otherwise they would stay until the driver's JVM collects."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillbit/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillbit_path = path
     return out

@@ -20,8 +20,8 @@ No partner is left out: what is in no bucket together is missed by the chances a
 and nothing else. One document of each fingerprint takes part, as the SimHash groups
 know all about the others.
 
-Cases: texts without words have no pairs; repeated ids are one document; ids are
-bigint (the stage gives fingerprints); an empty table has no pairs.
+Cases: texts without words have no pairs; ids are bigint (the stage gives
+fingerprints) and don't repeat; an empty table has no pairs.
 """
 
 from __future__ import annotations
@@ -135,11 +135,11 @@ def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(node, root) for the documents of ``docs`` (id: bigint, text) among the ids of
-    ``kept`` (id, root: the component known so far) that join a smaller id."""
+    """(node, root) for the documents that join a smaller id. ``docs`` (id: bigint, text)
+    has each id once; ``kept`` (id, root) has the components known so far."""
     ensure_importable(docs.sparkSession)
     kept = materialize(kept.distinct(), "kept")
-    texts = materialize(docs.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]), "kept-texts")
+    texts = materialize(docs, "kept-texts")
     edges = kept.select(F.col("id").alias("u"), F.col("root").alias("v"))
     roots = kept.select(F.col("id").alias("node"), "root")
     bands = materialize(_bands(texts), "bands")
@@ -162,6 +162,8 @@ def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
         roots = components(edges)
         many = mixed.where(F.col("outside") > NEAR)
         if level > LEVELS or many.isEmpty():
+            for table in (texts, members):
+                discard(table)
             return roots
         bands = materialize(_divided(texts, members.join(many.select("key"), "key", "left_semi").select("id", "key"), level), "bands")
     return roots

@@ -272,7 +272,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int
 
         rooted = materialize(rooted, "node-roots")
         own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("text"))
-        texts = own.join(rooted.where("first is not null").select("first.id", "first.h", "fp"), ["id", "h"]).select(F.col("fp").alias("id"), "text")
+        texts = own.join(rooted.where("first is not null").select("first.id", "first.h", "fp"), ["id", "h"]).dropDuplicates(["id", "h"]).select(F.col("fp").alias("id"), "text")
         further = jaccard_roots(texts, rooted.select(F.col("fp").alias("id"), "root"))
         rooted = rooted.drop("root").join(further, rooted.fp == further.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     rooted = materialize(rooted, "node-roots")
