@@ -134,6 +134,15 @@ def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
     return bands.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
 
 
+def _joined(edges: DataFrame, roots: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the pairs ``found``, and the components of both; those known so
+    far are a star each, and stay as they are where nothing was found."""
+    if found.isEmpty():
+        return edges, roots
+    edges = edges.union(found)
+    return edges, components(edges)
+
+
 def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(node, root) for the documents that join a smaller id. ``docs`` (id: bigint, text)
     has each id once; ``kept`` (id, root) has the components known so far."""
@@ -148,8 +157,7 @@ def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
         open_keys = _labelled(bands, roots).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("id", "root")).alias("first")).where("low < high")
         others = _labelled(bands, roots).join(open_keys, "key").where(F.col("root") != F.col("first.root"))
         found = _verified(texts, others.select(F.col("id").alias("u"), F.col("first.id").alias("v")))
-        edges = edges.union(found)
-        roots = components(edges)
+        edges, roots = _joined(edges, roots, found)
         members = materialize(_labelled(bands, roots), "bands-labelled")
         discard(bands)
         sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -158,8 +166,7 @@ def jaccard_roots(docs: DataFrame, kept: DataFrame) -> DataFrame:
         few = mixed if level > LEVELS else mixed.where(F.col("outside") <= NEAR)
         outsiders = members.join(few, "key").where("root <> most").select("key", F.col("id").alias("u"), F.col("root").alias("own"))
         pairs = outsiders.join(members, "key").where("root <> own").select(F.greatest("u", "id").alias("u"), F.least("u", "id").alias("v"))
-        edges = edges.union(_verified(texts, pairs))
-        roots = components(edges)
+        edges, roots = _joined(edges, roots, _verified(texts, pairs))
         many = mixed.where(F.col("outside") > NEAR)
         if level > LEVELS or many.isEmpty():
             for table in (texts, members):
