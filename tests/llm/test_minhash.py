@@ -42,12 +42,13 @@ def test_stage_reaches_jaccard(spark, tables):
     assert kept == expected_kept(rows) | {None}
 
 
-@pytest.mark.parametrize("levels", [0, 2])
-def test_large_mixed_buckets(spark, tables, monkeypatch, levels):
-    """Buckets with more outsiders than NEAR are divided, and nothing is left out."""
+@pytest.mark.parametrize("held", [3, 64])
+def test_large_mixed_buckets(spark, tables, monkeypatch, held):
+    """Buckets with more outsiders than NEAR get prefixes, and nothing is left out."""
     r = random.Random(6)
     monkeypatch.setattr(minhash, "NEAR", 2)
-    monkeypatch.setattr(minhash, "LEVELS", levels)
+    monkeypatch.setattr(minhash, "HELD", held)
+    monkeypatch.setattr(minhash, "PASSING", 2 * held)
     passage = [f"p{i}" for i in range(60)]
     rows = []
     for _ in range(25):  # families that share a passage of more than half of their words
