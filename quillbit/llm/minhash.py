@@ -103,12 +103,14 @@ def _prefixes(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """(id, key) of the prefixes of the documents in the buckets ``bands`` (id, key), but
     for shingles that a single one of them has."""
     shingles = materialize(_shingles(docs.join(bands.select("id").distinct(), "id", "left_semi")), "shingles")
-    counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "key"))
+    counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("id")
+    # A text's single shingles come first, and only their number matters.
+    rank = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "key"))
     # So many shingles may be missing from a text of similarity LEAST, and one more.
     length = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1
-    ranked = shingles.join(counts, "key").select("id", "key", "n", (rank <= length).alias("within"))
-    out = materialize(ranked.where("within and n > 1").select("id", "key"), "bands")
+    ranked = shingles.join(counts, "key").select("id", "key", (rank <= length).alias("within"))
+    out = materialize(ranked.where("within").select("id", "key"), "bands")
     discard(shingles)
     return out
 
