@@ -118,3 +118,12 @@ def test_a_text_over_several_slices_and_repeated_ids(spark, monkeypatch):
     assert [(k, sum(map(len, w))) for k, w in found] == [("b", 100), ("c", 1), ("d", 2)]
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b")], "id long, text string")
     assert [(r.id, r.n_tokens) for r in codelength.code_lengths(twice, "id", "text").orderBy("id").collect()] == [(1, 6), (2, 3)]
+
+
+@pytest.mark.parametrize("name", ["codec_roundtrip", "nc05_roundtrip", "nc06_roundtrip"])
+def test_round_trips_go_by_the_jvm_kernel(spark, tables, name):
+    from quillbit.operators import codec_jvm
+
+    found = catalog.QUERIES[name](spark, tables)
+    assert codec_jvm.DECODE in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.lossless for x in found.select("lossless").collect()} == {True}
