@@ -162,3 +162,14 @@ def test_bytes_containers_are_read_by_their_headers(temperature):
         part = found["parts"][0]
         assert decode_chunks([(part["tokens"], part["stream"])], recorded(found["flags"], found["temperature"], None, Config())) == [TEXT[:150]]
         assert found["blob"] == b"abc" and found["flags"] == config.flags
+
+
+def test_sums_are_the_same_in_any_order():
+    """The JVM's kernel sums only the bytes that a chunk had, in its own order."""
+    from quillbit.operators.codec import total_of
+
+    r = np.random.default_rng(3)
+    for most in (4, 256):
+        x = r.random(256) ** 9 * most / 256
+        sums = {float(total_of(x[r.permutation(256)], most)) for _ in range(50)}
+        assert len(sums) == 1 and np.isclose(sums.pop(), x.sum(), rtol=1e-9)

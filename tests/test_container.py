@@ -134,3 +134,11 @@ def test_settings_beyond_the_jvm_are_coded_by_arrays(spark):
     config = Config(lzp_order=9)
     files = C.compress_texts(docs, "id", "text", 2, config).cache()
     assert {r.id: r.text for r in C.decompress_texts(files).collect()} == dict(enumerate(TEXTS))
+
+
+def test_bytes_that_come_late_are_coded_alike(spark):
+    """Bytes first met below, between and above the known ones, on both sides of the
+    steps at which odds are rescaled, and all 256 of them."""
+    late = b"ab" * 60 + bytes(range(99, 255, 13)) + b"ab" * 60 + bytes(range(96, 0, -7)) + b"ba" * 60
+    chunks = [late, bytes(range(255, -1, -1)) * 2, b"\x00" * 130 + b"\xff" * 5, late[:64], late[:129]]
+    _coded_alike(spark, [Config(), Config(warmup=1, adaptive_rate=1 / 64), Config(warmup=1, skip=False, adaptive_rate=-0.01, total=(1 << 24) - 3)], chunks)
